@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe
+from tessera.llm import bpe, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op7_byte_bpe": bpe.op7_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
