@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, toxicity
+from tessera.llm import bpe, exactdedup, linededup, simhash, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
+    "op4_line_dedup": linededup.op4_line_dedup,
+    "op5_exact_dedup": exactdedup.op5_exact_dedup,
+    "op6_simhash": simhash.op6_simhash,
     "op7_byte_bpe": bpe.op7_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": linededup.ORACLE,
+    "op5_exact_dedup": exactdedup.ORACLE,
+}

@@ -48,3 +48,103 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+
+
+def popcounts(fp: Column) -> Column:
+    """The grid point of a fingerprint: the bit counts 0, 1, 2 of its 32 segments, two bits each."""
+    upper = F.shiftrightunsigned(fp, 1)
+    one = fp.bitwiseXOR(upper).bitwiseAND(F.lit(EVERY_OTHER))
+    two = fp.bitwiseAND(upper).bitwiseAND(F.lit(EVERY_OTHER))
+    return one.bitwiseOR(F.shiftleft(two, 1))
+
+
+def manhattan(a: Column, b: Column) -> Column:
+    """The Manhattan distance of two grid points: counts that differ by 1 set the lower bit of a^b, by 2 only the upper."""
+    x = a.bitwiseXOR(b)
+    low = x.bitwiseAND(F.lit(EVERY_OTHER))
+    high = F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(EVERY_OTHER)).bitwiseAND(F.bitwise_not(low))
+    return F.bit_count(low) + 2 * F.bit_count(high)
+
+
+def hamming(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def _masks(groups: int, distance: int, segments: int = 32) -> list[int]:
+    """For each choice of the groups of segments that do not differ, the mask of their bits."""
+    width = 64 // segments
+    cut = [round(k * segments / groups) for k in range(groups + 1)]
+    part = [sum(((1 << width) - 1) << (width * s) for s in range(a, b)) for a, b in zip(cut, cut[1:], strict=False)]
+    return [_signed(sum(part[k] for k in own)) for own in combinations(range(groups), groups - distance)]
+
+
+def _cells(points: DataFrame, value: Column, masks: list[int]) -> DataFrame:
+    """A row (c, cell, fp) for each fingerprint and mask."""
+    keys = F.array(*(F.struct(F.lit(k).alias("c"), value.bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(masks)))
+    return points.select("fp", F.explode(keys).alias("k")).select("k.c", "k.cell", "fp")
+
+
+def _forest(distance: int):
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        """Links that connect what is linked within one cell, each new row compared with all before it."""
+        fp = np.sort(cell["fp"].to_numpy())
+        bits = fp.view(np.uint64)
+        root = np.arange(len(fp))
+        out = []
+        for k in range(1, len(fp)):
+            near = np.nonzero(np.bitwise_count(bits[:k] ^ bits[k]) <= distance)[0]
+            for r in np.unique(root[near]):
+                out.append((fp[near[root[near] == r][0]], fp[k]))
+                root[: k + 1][root[: k + 1] == r] = k
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def links(points: DataFrame, distance: int = 3, groups: int = 6, dense: int = 256) -> DataFrame:
+    """Pairs (a, b) of the distinct fingerprints ``points`` (fp), a < b, at most ``distance`` bits apart.
+
+    Cells of at most ``dense`` fingerprints give all their linked pairs.  The fingerprints of
+    fuller cells are dealt again by all choices of 13 of 16 groups of their bits themselves; such a
+    cell holds 2^12 fingerprints at most, and gives links that connect all it links.  So every
+    link is a row, or its ends are connected by rows, and no task or row count grows with a square.
+    """
+    masks = _masks(groups, distance)
+    cells = _cells(points, popcounts(F.col("fp")), masks)
+    sizes = save(cells.groupBy("c", "cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
+    usual = sizes.where(F.col("n") <= dense).select("c", "cell")
+    held = save(cells.join(usual, ["c", "cell"]).select("c", "cell", "fp"), "cells-held")
+    a, b = held.select("c", "cell", F.col("fp").alias("a")), held.select("c", "cell", F.col("fp").alias("b"))
+    near = manhattan(popcounts(F.col("a")), popcounts(F.col("b"))) <= distance
+    pairs = a.join(b, ["c", "cell"]).where("a < b").where(near).where(hamming(F.col("a"), F.col("b")) <= distance).select("a", "b")
+    full = sizes.where(F.col("n") > dense).select("c", "cell")
+    if full.isEmpty():
+        return pairs
+    hot = save(cells.join(full, ["c", "cell"], "left_semi").select("fp").distinct(), "cells-hot")
+    fine = _cells(hot, F.col("fp"), _masks(16, distance, 64))
+    return pairs.union(fine.groupBy("c", "cell").applyInPandas(_forest(distance), "a long, b long"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFrame:
+    """Per row of ``docs``: doc_id, fp (long), component_id, the smallest doc_id reachable over links.
+
+    Null and empty texts have fingerprint 0, linked like any other.  Rows without doc_id take part
+    and do not name a component (which is null where no row of it has an id).  Repeated rows
+    give repeated rows.  No table, no rows.
+    """
+    by_doc = save(fingerprints(docs, size), "fp")
+    distinct = save(by_doc.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-distinct")
+    comp = save(components(links(distinct.select("fp"), distance)), "fp-cc")
+    named = distinct.join(comp, distinct.fp == comp.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    least = save(named.groupBy("component").agg(F.min("least").alias("component_id")), "fp-least")
+    of_fp = save(named.join(least, "component").select("fp", "component_id"), "fp-named")
+    return by_doc.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = near_duplicates(table(spark, sf_dir, "documents"))
+    return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
