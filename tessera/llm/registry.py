@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exactdedup, linededup, simhash, toxicity
+from tessera.llm import bpe, exactdedup, linededup, simhash, tokenfile, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_token_file": tokenfile.op3_token_file,
     "op4_line_dedup": linededup.op4_line_dedup,
     "op5_exact_dedup": exactdedup.op5_exact_dedup,
     "op6_simhash": simhash.op6_simhash,
