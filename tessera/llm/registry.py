@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exactdedup, linededup, simhash, tokenfile, toxicity
+from tessera.llm import bpe, decontaminate, exactdedup, linededup, simhash, tokenfile, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_exact_dedup": exactdedup.op5_exact_dedup,
     "op6_simhash": simhash.op6_simhash,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op9_decontamination": decontaminate.op9_decontamination,
 }
 ORACLES: dict[str, str] = {
     "op4_line_dedup": linededup.ORACLE,
