@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, exactdedup, linededup, simhash, tokenfile, toxicity
+from tessera.llm import bpe, decontaminate, exactdedup, language, linededup, simhash, tokenfile, toxicity
 
 QUERIES = {
+    "op1_language_id": language.op1_language_id,
+    "pages_language_id": language.pages_language_id,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_token_file": tokenfile.op3_token_file,
     "op4_line_dedup": linededup.op4_line_dedup,
