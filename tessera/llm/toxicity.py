@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 
 #: Most labelled rows that are read for training, the ones of smallest hashed doc_id.
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 6000
 #: The longest text, in characters, that the training sample takes (scores read every whole text).
 LONGEST = 20_000
 #: n-grams with zero vectors that each average holds besides the text's own, against chance in short texts.
@@ -61,33 +61,30 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + total / (n + PAD), -500, 500))))
 
 
-def train(texts: list[str], labels: np.ndarray, dim: int = 4, least_docs: int = 8, epochs: int = 12, rate: float = 1.0, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Fit vectors and weights by minibatch Adam on the cross entropy.  n-grams in fewer than
-    ``least_docs`` texts keep zero vectors.  Without both labels the score is the labels' mean."""
+def train(texts: list[str], labels: np.ndarray, dim: int = 4, least_docs: int = 16, epochs: int = 12, rate: float = 1.0, decay: float = 1e-4, seed: int = 7) -> Model:
+    """Fit vectors and weights by minibatch Adam on the cross entropy.  n-grams whose words are
+    in fewer than ``least_docs`` texts, added up, keep zero vectors.  Without both labels the score is the labels' mean."""
     if len(texts) == 0 or len(set(labels.tolist())) < 2:
         mean = float(labels.mean()) if len(texts) else 0.0
         return Model({}, float(np.log((mean + 1e-3) / (1 - mean + 1e-3))))
-    grams_of: dict[str, list[str]] = {}
-    bags = []
-    seen: Counter[str] = Counter()
-    for t in texts:
-        words = Counter(_words(t.lower()))
-        for w in words:
-            if w not in grams_of:
-                grams_of[w] = word_grams(w)
-        bags.append(words)
+    bags = [Counter(_words(t.lower())) for t in texts]
+    docs_of: Counter[str] = Counter()
     for words in bags:
-        seen.update({g for w in words for g in grams_of[w]})
+        docs_of.update(words.keys())
+    seen: Counter[str] = Counter()
+    for w, n in docs_of.items():
+        for g in word_grams(w):
+            seen[g] += n
     names = sorted(g for g, n in seen.items() if n >= least_docs)
-    at = {g: i for i, g in enumerate(names)}
     del seen
+    at = {g: i for i, g in enumerate(names)}
+    of_word = {w: (np.array([at[g] for g in gs if g in at], np.int32), len(gs)) for w in docs_of for gs in [word_grams(w)]}
     rows = []
-    of_word = {w: np.array([at[g] for g in gs if g in at], np.int32) for w, gs in grams_of.items()}
     for words in bags:
-        cols = [np.repeat(of_word[w], n) for w, n in words.items()]
+        cols = [np.repeat(of_word[w][0], n) for w, n in words.items()]
         c, k = np.unique(np.concatenate(cols), return_counts=True) if cols else (np.empty(0, np.int32), np.empty(0))
-        rows.append((c, (k / (PAD + sum(n * len(grams_of[w]) for w, n in words.items()))).astype(np.float32)))
-    del bags, of_word, grams_of
+        rows.append((c, (k / (PAD + sum(n * of_word[w][1] for w, n in words.items()))).astype(np.float32)))
+    del bags, of_word, docs_of, at
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (dim, len(names))).astype(np.float32)
     w = rng.normal(0, 1, (dim, 2)).astype(np.float32)
