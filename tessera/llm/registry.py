@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, exactdedup, language, linededup, simhash, tokenfile, toxicity
+from tessera.llm import bpe, decontaminate, exactdedup, language, linededup, simhash, substrings, tokenfile, toxicity
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_exact_dedup": exactdedup.op5_exact_dedup,
     "op6_simhash": simhash.op6_simhash,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_repeated_bytes": substrings.op8_repeated_bytes,
     "op9_decontamination": decontaminate.op9_decontamination,
 }
 ORACLES: dict[str, str] = {
