@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, exactdedup, language, linededup, simhash, substrings, tokenfile, toxicity
+from tessera.llm import bpe, decontaminate, exactdedup, language, linededup, passages, simhash, substrings, tokenfile, toxicity
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_repeated_bytes": substrings.op8_repeated_bytes,
     "op9_decontamination": decontaminate.op9_decontamination,
+    "op10_shared_passages": passages.op10_shared_passages,
 }
 ORACLES: dict[str, str] = {
     "op4_line_dedup": linededup.ORACLE,
