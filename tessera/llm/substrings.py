@@ -27,15 +27,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.bitfilter import bit_filter, hits
 from tessera.llm.common import save, table
 
 WINDOW, GRAM = 200, 100
 SPREAD = WINDOW - GRAM  # the places that an anchor can have in its window: 0 .. SPREAD
 SECTIONS = 8
-FILTER_BITS = 27  # at most 2^27 bits, 16 MB
 _A = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD))
 _B = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
@@ -84,43 +84,6 @@ def anchors(gram: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return at[first], first, np.concatenate([first[1:], [n - WINDOW + 1]]) - 1
 
 
-def _places(keys: np.ndarray, bits: int) -> np.ndarray:
-    k = keys.view(np.uint64)
-    return np.concatenate([k >> np.uint64(64 - bits), (k * _B[0]) >> np.uint64(64 - bits)])
-
-
-def bit_filter(keys: DataFrame, column: str) -> bytes:
-    """A filter of the longs in ``column``; tasks set bits in blocks, the driver gets at most 16 MB."""
-    n = keys.count()
-    bits = int(min(FILTER_BITS, max(16, np.ceil(np.log2(16 * n + 1)))))
-    block = 1 << 16  # bits a block
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, np.ndarray] = {}
-        for b in batches:
-            at = np.unique(_places(b.column(0).to_numpy(), bits)).astype(np.int64)
-            for k in np.unique(at // block):
-                bit = at[at // block == k] % block
-                np.bitwise_or.at(own.setdefault(int(k), np.zeros(block // 8, np.uint8)), bit >> 3, (1 << (bit & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([x.tobytes() for x in own.values()], pa.binary())], ["block", "bits"])
-
-    def merge(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": g["block"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in g["bits"]]).tobytes()]})
-
-    got = keys.select(column).coalesce(24).mapInArrow(mark, "block int, bits binary").groupBy("block").applyInPandas(merge, "block int, bits binary").toPandas()
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for k, v in zip(got["block"], got["bits"], strict=True):
-        out[k * block // 8 : (k + 1) * block // 8] = np.frombuffer(v, np.uint8)
-    return out.tobytes()
-
-
-def _hits(data: bytes, keys: np.ndarray) -> np.ndarray:
-    f = np.frombuffer(data, np.uint8)
-    at = _places(keys, (len(f) * 8).bit_length() - 1).reshape(2, -1)
-    found = f[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
-    return found.all(0)
-
-
 def section_of(k: int) -> tuple[int, int]:
     """The places x of section k: windows that start x bytes before their anchor."""
     return -(-k * (SPREAD + 1) // SECTIONS), -(-(k + 1) * (SPREAD + 1) // SECTIONS) - 1
@@ -185,7 +148,7 @@ class Repeats:
 
         # 2
         def spans(rid, data, ranks, gram, a, f, l):
-            k = np.nonzero(_hits(one.value, gram[a]))[0]
+            k = np.nonzero(hits(one.value, gram[a]))[0]
             d = b"".join(xxhash.xxh3_128_digest(data[x : y + WINDOW]) for x, y in zip(f[k].tolist(), l[k].tolist(), strict=True))
             s = np.frombuffer(d, "<i8").reshape(-1, 2)
             # Spans are alike if their bytes are and the anchor has the same place in them.
@@ -200,7 +163,7 @@ class Repeats:
         sections = [section_of(k) for k in range(SECTIONS)]
 
         def candidates(gram, a):
-            return np.nonzero(_hits(one.value, gram[a]) & _hits(two.value, gram[a]))[0]
+            return np.nonzero(hits(one.value, gram[a]) & hits(two.value, gram[a]))[0]
 
         def shared(ranks, n, at, first, last, k):
             """Of the anchors, those with windows in section k, and the ranks of what these windows share."""
@@ -225,7 +188,7 @@ class Repeats:
             places = [np.empty(0, np.int64)]
             for k, (x, y) in enumerate(sections):
                 own, r = shared(ranks, len(data), a, f, l, k)
-                own = own[_hits(three.value, r)] if len(own) else own
+                own = own[hits(three.value, r)] if len(own) else own
                 lo, hi = np.maximum(f[own], a[own] - y), np.minimum(l[own], a[own] - x)
                 n = hi - lo + 1
                 places.append(np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
@@ -259,11 +222,7 @@ def remove(docs: DataFrame) -> DataFrame:
             rows = [cut_text(t, [] if u is None else [(x["first"], x["last"]) for x in u], p) for t, u, p in zip(texts, firsts, places, strict=True)]
             yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return r.docs.join(marks, "rid", "left").select("doc_id", cut(F.col("text"), _plain(F.col("runs")), F.col("places")).alias("r")).select("doc_id", "r.*")
-
-
-def _plain(runs: Column) -> Column:
-    return runs
+    return r.docs.join(marks, "rid", "left").select("doc_id", cut(F.col("text"), F.col("runs"), F.col("places")).alias("r")).select("doc_id", "r.*")
 
 
 def cut_text(text: str | None, runs: list[tuple[int, int]], places) -> tuple[int, int, int, bytes, str]:
