@@ -22,7 +22,7 @@ def token_count(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\. "), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\. "), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -24,7 +24,7 @@ def clean_pages(pages: DataFrame) -> DataFrame:
 
     A first or last line goes if it is that of more than half of its document's pages.
     """
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     # get() is null past the end, so that pages without lines have neither.
     p = pages.withColumn("lines", lines).withColumn("head", F.get("lines", F.lit(0))).withColumn("foot", F.get("lines", F.size("lines") - 1))
     n = p.groupBy("doc").agg(F.count("*").alias("pages"))

@@ -10,6 +10,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.scalar import cosine, exact_round
 
@@ -28,6 +29,9 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
     so that k rows a question and batch are ranked in the end."""
     rows = queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator()
     out, block = None, []
+    types = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, vector_score double"
+
+    arrow = [to_arrow_type(df.schema[c].dataType) for df, c in ((queries, "query_id"), (vectors, "id"))]
 
     def scan(block) -> DataFrame:
         ids = np.array([r.query_id for r in block])
@@ -37,21 +41,22 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                own = batch.column(0).to_numpy()
+                own = batch.column(0).to_numpy(zero_copy_only=False)
+                place = np.argsort(np.argsort(own, kind="stable"), kind="stable")  # ids may be text
                 v = _unit(np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64))
                 s = np.floor(q @ v.T * 1e6 + 0.5) / 1e6
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
+                order = np.lexsort((np.broadcast_to(place, s.shape), -s), axis=1)[:, :k]
                 n = order.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(own[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], ["query_id", "id", "vector_score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n), arrow[0]), pa.array(own[order].ravel(), arrow[1]), pa.array(np.take_along_axis(s, order, 1).ravel())], ["query_id", "id", "vector_score"])
 
-        return vectors.select(F.col("id").cast("long"), "embedding").mapInArrow(run, "query_id long, id long, vector_score double")
+        return vectors.select("id", "embedding").mapInArrow(run, types)
 
     for r in rows:
         block.append(r)
         if len(block) == BLOCK:
             out, block = (scan(block) if out is None else out.union(scan(block))), []
     if block or out is None:
-        out = scan(block) if out is None and block else out.union(scan(block)) if block else vectors.sparkSession.createDataFrame([], "query_id long, id long, vector_score double")
+        out = scan(block) if out is None and block else out.union(scan(block)) if block else vectors.sparkSession.createDataFrame([], types)
     by = Window.partitionBy("query_id").orderBy(F.col("vector_score").desc(), "id")
     return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
