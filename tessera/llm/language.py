@@ -125,8 +125,8 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     arr = lambda name: F.array(*votes).alias(name)
     # One row for all rows, at most one a language declared, one a suffix: small by their meaning.
     total = scored.agg(arr("all_n"), F.sum(F.when(F.col("declared").isin(langs) & F.col("heard"), 1.0).otherwise(0.0)).alias("said"), F.sum(F.when(F.col("declared").isin(langs) & F.col("heard") & (F.element_at(F.array(*map(F.lit, langs)), F.col("vote")) == F.col("declared")), 1.0).otherwise(0.0)).alias("agreed")).first()
-    seen = sum(total.all_n or [0.0] * k)
-    prior = [((total.all_n[i] if total.all_n and total.all_n[i] else 0.0) + 1.0) / (seen + k) for i in range(k)]
+    heard = [x or 0.0 for x in total.all_n]
+    prior = [(x + 1.0) / (sum(heard) + k) for x in heard]
     trust = ((total.agreed or 0.0) + 9.0) / ((total.said or 0.0) + 10.0)
     by_suffix = save(scored.where("suffix <> ''").groupBy("suffix").agg(arr("suffix_n")), "lang-suffix")
     by_domain = scored.where("domain is not null").groupBy("domain").agg(arr("domain_n"))
