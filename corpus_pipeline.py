@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, decontaminate, linededup, simhash, toxicity
 from tessera.llm.common import save, table
 
-#: Near-duplicate stages take shingles of five words.
-SHINGLE = 5
+#: Near-duplicate stages take shingles of five words.  Six differing bits of 64 stand for a similarity of
+#: about 0.9 of the shingles; cells are choices of 3 of 9 groups of one-bit segments.
+SHINGLE, DISTANCE, GROUPS = 5, 6, 9
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Documents without any word are no copies of each other and stay, as do rows without doc_id.
     """
-    near = simhash.near_duplicates(docs.where(F.rlike(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))), SHINGLE)
+    near = simhash.near_duplicates(docs.where(F.rlike(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))), SHINGLE, DISTANCE, GROUPS, segments=64, dense=16)
     copies = save(near.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct(), "copies")
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import components, save, table
 
 EVERY_OTHER = 0x5555555555555555
+#: Most fingerprints of a cell that one task compares.
+HELD = 20_000
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -105,31 +107,34 @@ def _forest(distance: int):
     return run
 
 
-def links(points: DataFrame, distance: int = 3, groups: int = 6, dense: int = 256) -> DataFrame:
+def links(points: DataFrame, distance: int = 3, groups: int = 6, dense: int = 256, segments: int = 32) -> DataFrame:
     """Pairs (a, b) of the distinct fingerprints ``points`` (fp), a < b, at most ``distance`` bits apart.
 
-    Cells of at most ``dense`` fingerprints give all their linked pairs.  The fingerprints of
-    fuller cells are dealt again by all choices of 13 of 16 groups of their bits themselves; such a
-    cell holds 2^12 fingerprints at most, and gives links that connect all it links.  So every
-    link is a row, or its ends are connected by rows, and no task or row count grows with a square.
+    Cells of at most ``dense`` fingerprints give all their linked pairs.  Fuller ones, up to
+    ``HELD``, are compared within one task, which gives links that connect all that the cell links.
+    The fingerprints of still fuller cells are dealt again by choices of groups of their
+    bits themselves, of which at most 2^12 to 2^16 fit one cell.  So every link is a row, or its ends are connected by rows, and no
+    row count grows with a square.  For wider distances the cells take ``segments`` of one bit (64),
+    whose counts are the bits.
     """
-    masks = _masks(groups, distance)
-    cells = _cells(points, popcounts(F.col("fp")), masks)
+    cells = _cells(points, popcounts(F.col("fp")) if segments == 32 else F.col("fp"), _masks(groups, distance, segments))
     sizes = save(cells.groupBy("c", "cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
-    usual = sizes.where(F.col("n") <= dense).select("c", "cell")
-    held = save(cells.join(usual, ["c", "cell"]).select("c", "cell", "fp"), "cells-held")
-    a, b = held.select("c", "cell", F.col("fp").alias("a")), held.select("c", "cell", F.col("fp").alias("b"))
+    held = save(cells.join(sizes.where(F.col("n") <= HELD), ["c", "cell"]).select("c", "cell", "n", "fp"), "cells-held")
+    few = held.where(F.col("n") <= dense)
+    a, b = few.select("c", "cell", F.col("fp").alias("a")), few.select("c", "cell", F.col("fp").alias("b"))
     near = manhattan(popcounts(F.col("a")), popcounts(F.col("b"))) <= distance
     pairs = a.join(b, ["c", "cell"]).where("a < b").where(near).where(hamming(F.col("a"), F.col("b")) <= distance).select("a", "b")
-    full = sizes.where(F.col("n") > dense).select("c", "cell")
+    out = "a long, b long"
+    pairs = pairs.union(held.where(F.col("n") > dense).groupBy("c", "cell").applyInPandas(_forest(distance), out))
+    full = sizes.where(F.col("n") > HELD).select("c", "cell")
     if full.isEmpty():
         return pairs
     hot = save(cells.join(full, ["c", "cell"], "left_semi").select("fp").distinct(), "cells-hot")
-    fine = _cells(hot, F.col("fp"), _masks(16, distance, 64))
-    return pairs.union(fine.groupBy("c", "cell").applyInPandas(_forest(distance), "a long, b long"))
+    fine = _cells(hot, F.col("fp"), _masks(16 if distance <= 3 else 24, distance, 64))
+    return pairs.union(fine.groupBy("c", "cell").applyInPandas(_forest(distance), out))
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3, groups: int = 6, segments: int = 32, dense: int = 256) -> DataFrame:
     """Per row of ``docs``: doc_id, fp (long), component_id, the smallest doc_id reachable over links.
 
     Null and empty texts have fingerprint 0, linked like any other.  Rows without doc_id take part
@@ -138,7 +143,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFr
     """
     by_doc = save(fingerprints(docs, size), "fp")
     distinct = save(by_doc.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-distinct")
-    comp = save(components(links(distinct.select("fp"), distance)), "fp-cc")
+    comp = save(components(links(distinct.select("fp"), distance, groups, dense, segments)), "fp-cc")
     named = distinct.join(comp, distinct.fp == comp.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = save(named.groupBy("component").agg(F.min("least").alias("component_id")), "fp-least")
     of_fp = save(named.join(least, "component").select("fp", "component_id"), "fp-named")
