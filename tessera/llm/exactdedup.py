@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop, save, table
+from tessera.llm.bitfilter import bit_filter, hit
+from tessera.llm.common import save, table
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -37,9 +38,14 @@ def exact_groups(docs: DataFrame, first: int = 64, growth: int = 8) -> DataFrame
         dealt = now.select("doc_id", "text_sha256", "g", F.substring("rest", 1, width).alias("digit"), F.substring("rest", width + 1, 2**31 - 1 - width).alias("rest"))
         counts = dealt.groupBy("g", "digit").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
         groups = save(counts.withColumn("next_g", F.monotonically_increasing_id() + 1), "radix-groups")
+        # A bit filter of the groups settles most lone rows where they are, so their texts do not move.
+        key = F.xxhash64("g", "digit")
+        some = hit(bit_filter(groups.select(key.alias("key")), "key"), key)
+        done.append(dealt.where(~some).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256"))
         ended = F.octet_length("digit") < width
         on = F.col("n").isNotNull() & ~ended
-        step = dealt.join(groups, ["g", "digit"], "left").select(
+        # Always a sort-merge join: it splits a hot group's rows, and moves the same share at any size.
+        step = dealt.where(some).join(groups.hint("merge"), ["g", "digit"], "left").select(
             "doc_id",
             "text_sha256",
             F.when(on, F.lit(None)).when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).cast("long").alias("keep_id"),
@@ -48,7 +54,6 @@ def exact_groups(docs: DataFrame, first: int = 64, growth: int = 8) -> DataFrame
             F.when(on, F.col("rest")).alias("rest"),
         )
         step = save(step, "radix")
-        drop(groups)
         done.append(step.where(F.col("g").isNull()).select("doc_id", "keep_id", "group_size", "text_sha256"))
         now = step.where(F.col("g").isNotNull()).select("doc_id", "text_sha256", "g", "rest")
         if now.isEmpty():
