@@ -86,3 +86,22 @@ def web_block(ranked: DataFrame) -> DataFrame:
 def failure_summary(chunks_: Column, answer: Column) -> Column:
     """The first three passages, 150 characters each, and 500 of the answer."""
     return F.concat_ws("\n", F.array_join(F.transform(F.slice(chunks_, 1, 3), lambda c: F.substring(c, 1, 150)), "\n"), F.substring(answer, 1, 500))
+
+
+def synthesise(answers: DataFrame, *keys: str) -> DataFrame:
+    """Sub-answers (keys, pos, answer) of each question joined in their order: the fallback synthesis."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "answer"))), lambda x: x["answer"]), "\n\n")
+    return answers.groupBy(*keys).agg(joined.alias("answer"))
+
+
+def dual_index(chunks_: DataFrame, corpus: DataFrame, vectors: DataFrame, embed) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows to append to the corpus and the vector table, and a status row.
+
+    Each index takes the chunks whose id it lacks; what one took is reported apart from the other.
+    """
+    new = chunks_.dropDuplicates(["chunk_id"])
+    words = new.join(corpus.select("chunk_id"), "chunk_id", "left_anti").select(*chunks_.columns)
+    embedded = embed(new.join(vectors.select("chunk_id"), "chunk_id", "left_anti").select(*chunks_.columns))
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    status = count(chunks_, "chunk_count").crossJoin(count(words, "bm25_inserted")).crossJoin(count(embedded, "vectors_inserted"))  # one row each
+    return words, embedded, status

@@ -45,3 +45,14 @@ def count_or_zero(df: DataFrame) -> int:
         return df.count()
     except Exception:  # noqa: BLE001 - an absent store counts as empty
         return 0
+
+
+def listing(docs: DataFrame) -> DataFrame:
+    """Ingested documents in the order of their indexing."""
+    return docs.select("doc_id", "filename", "chunk_count", "indexed_at").orderBy("indexed_at", "doc_id")
+
+
+def job_progress(jobs: DataFrame) -> DataFrame:
+    """The latest status of each job with the share that is done; one may run at a time."""
+    last = upsert_latest(jobs, "job_id", "seq")
+    return last.select("job_id", "status", "progress", "total", F.when(F.col("total") > 0, F.col("progress") / F.col("total")).otherwise(0.0).alias("share"))

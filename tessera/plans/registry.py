@@ -474,6 +474,36 @@ def session_state(spark, sf):
     return tables.latest_state(e).withColumnsRenamed({"session_id": "user_id", "step": "event_id"})
 
 
+# --- more of ingest and tables -----------------------------------------------------------
+@query("SELECT doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda t: t <> '')) AS n FROM documents")
+def token_counts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", s.token_count(F.col("text")).cast("long").alias("n"))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY 1")
+def sub_answer_synthesis(spark, sf):
+    return ingest.synthesise(table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", F.col("turn").alias("pos"), F.col("text").alias("answer")), "conv_id")
+
+
+@query("SELECT user_id AS job_id, event_type AS status, event_id AS progress, 100000 AS total, event_id / 100000e0 AS share FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
+def job_progress(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.col("event_id").alias("progress"), F.lit(100000).alias("total"))
+    return tables.job_progress(e)
+
+
+@query("SELECT source || '/' || doc_id AS doc_id, source AS filename, 1 AS chunk_count, n_chars AS indexed_at FROM documents")
+def ingested_listing(spark, sf):
+    d = table(spark, sf, "documents").select(F.concat_ws("/", "source", "doc_id").alias("doc_id"), F.col("source").alias("filename"), F.lit(1).alias("chunk_count"), F.col("n_chars").alias("indexed_at"))
+    return tables.listing(d)
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS chunk_count, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)) AS bm25_inserted, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS vectors_inserted")
+def dual_index_status(spark, sf):
+    """Documents as chunks: the keyword index holds the benchmark's ids, the vector table those of the embeddings."""
+    c = corpus(spark, sf)
+    return ingest.dual_index(c, table(spark, sf, "benchmark").select(F.col("item_id").alias("chunk_id")), vectors(spark, sf).select(F.col("id").alias("chunk_id")), lambda df: df)[2]
+
+
 # --- model-backed and iterative, without SQL --------------------------------------------
 @query()
 def ann_topk(spark, sf):
