@@ -27,7 +27,7 @@ from tessera.llm.common import SPACES, save, table
 THRESHOLD = 10
 SHARDS = 64
 #: Most frequent keys that are handed to every task; above it lines are joined with the table by key.
-HELD_KEYS = 1_000_000
+HELD_KEYS = 500_000
 _WHITE = SPACES.encode()
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -241,7 +241,7 @@ def drop_lines(docs: DataFrame, index: LineIndex, held_keys: int = HELD_KEYS, te
 
     keys = index.frequent()
     if keys.count() <= held_keys:
-        held = Screen({r.shard: bytes(r.filter) for r in index.filters.collect()}, frozenset(bytes(r.digest) for r in keys.collect()))
+        held = Screen({r.shard: bytes(r.filter) for r in index.filters.collect()}, frozenset(map(bytes, keys.toPandas()["digest"])))
         shared = spark.sparkContext.broadcast((held.keys, {k: v.tobytes() for k, v in held.filters.items()}))
 
         @F.pandas_udf(_RESULT)
