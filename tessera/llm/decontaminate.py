@@ -50,18 +50,13 @@ def values(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(t), F.lit(token), F.lit(0)), lambda x: F.when(x.endswith(_END), F.substring(x, 2, 1 << 20)))
 
 
-def _pair(a: Column, b: Column, shift: int) -> Column:
-    """Hashes of each element of a and the element of b ``shift`` places on."""
-    n = F.greatest(F.size(b) - shift, F.lit(0))
-    return F.zip_with(F.slice(a, 1, n), F.slice(b, shift + 1, n), lambda x, y: F.xxhash64(x, y))
-
-
 def windows(tokens: Column) -> Column:
-    """The hash of each window of five tokens, in order; fewer tokens have none."""
-    one = F.transform(tokens, lambda t: F.xxhash64(t))
-    two = _pair(one, one, 1)
-    four = _pair(two, two, 2)
-    return _pair(four, one, 4)
+    """The hash of each window of five tokens, in order; fewer tokens have none.
+
+    ``tokens`` must be a column of the input, not an expression: each window reads it five times.
+    """
+    each = F.transform(F.sequence(F.lit(0), F.size(tokens) - WIDTH), lambda i: F.xxhash64(*(F.get(tokens, i + k) for k in range(WIDTH))))
+    return F.when(F.size(tokens) >= WIDTH, each).otherwise(F.array().cast("array<bigint>"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -88,7 +83,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, he
     own = save(benchmark_windows(benchmark), "bench")
     small = own.count() <= held_windows
     held = (lambda df: F.broadcast(df)) if small else (lambda df: df)  # checked: see HELD_WINDOWS
-    each = _keyed(docs).select("doc_id", "text_key", F.explode(windows(template(F.col("text")))).alias("window"))
+    placed = _keyed(docs).select("doc_id", "text_key", template(F.col("text")).alias("t"))
+    each = placed.select("doc_id", "text_key", F.explode(windows(F.col("t"))).alias("window"))
     shared = each.join(held(own), "window").groupBy("doc_id", "text_key", "item_id", "of", "window").agg(F.lit(1).alias("one"))
     pairs = shared.groupBy("doc_id", "text_key", "item_id", "of").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= share * F.col("of"))
     pairs = save(pairs, "leaks")
@@ -121,8 +117,8 @@ def _slots(docs: DataFrame, benchmark: DataFrame, pairs: DataFrame) -> DataFrame
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that leak no item, all columns; rows with null doc_id or text are judged like others."""
-    bad = save(contaminated(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct(), "leaking")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k")), "left_anti")
+    bad = save(contaminated(docs, benchmark).select("doc_id", "text_key").distinct(), "leaking")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["text_key"]), "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
