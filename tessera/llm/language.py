@@ -68,7 +68,9 @@ class TextModel:
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, least: int = 3) -> TextModel:
     """``labelled``: id, text, lang.  Counts trigrams of the sample by language on the executors; what
     reaches the driver is bounded by the sample's distinct trigrams."""
-    sample = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(rows)
+    # Ids are chosen first, so that only the sample's texts move; it bounds the broadcast.
+    ids = labelled.where(F.col("lang").isNotNull()).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
+    sample = labelled.where(F.col("lang").isNotNull()).join(F.broadcast(ids), "id")
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("n"))
     padded = F.concat(F.lit(" "), "w", F.lit(" "))
     grams = words.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))).alias("g"))
