@@ -30,8 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bitfilter import bit_filter, hits
-from tessera.llm.common import save, table
+from tessera.llm.bitfilter import bit_filter, hit, hits
+from tessera.llm.common import drop, save, table
 
 WINDOW, GRAM = 200, 100
 SPREAD = WINDOW - GRAM  # the places that an anchor can have in its window: 0 .. SPREAD
@@ -147,23 +147,33 @@ class Repeats:
         one = share(bit_filter(grams, "h"))
 
         # 2
-        def spans(rid, data, ranks, gram, a, f, l):
-            k = np.nonzero(hits(one.value, gram[a]))[0]
+        def digests(data, k, a, f, l):
+            """Spans are alike if their bytes are and the anchor has the same place in them."""
             d = b"".join(xxhash.xxh3_128_digest(data[x : y + WINDOW]) for x, y in zip(f[k].tolist(), l[k].tolist(), strict=True))
             s = np.frombuffer(d, "<i8").reshape(-1, 2)
-            # Spans are alike if their bytes are and the anchor has the same place in them.
-            return [np.full(len(k), rid), gram[a[k]], s[:, 0].copy(), s[:, 1] ^ (a[k] - f[k]), f[k].astype(np.int32), l[k].astype(np.int32)]
+            return s[:, 0].copy(), s[:, 1] ^ (a[k] - f[k])
+
+        def spans(rid, data, ranks, gram, a, f, l):
+            k = np.nonzero(hits(one.value, gram[a]))[0]
+            return [np.full(len(k), rid), gram[a[k]], *digests(data, k, a, f, l), f[k].astype(np.int32), l[k].astype(np.int32)]
 
         found = self._keep(self._scan(spans, "rid long, h long, s long, t long, first int, last int"), "spans")
-        kinds = self._keep(found.groupBy("h", "s", "t").agg(F.count("*").alias("n")), "span-ranks")
+        kinds = self._keep(found.groupBy("h", "s", "t").agg(F.count("*").alias("n"), F.min("rid").alias("rid")), "span-ranks")
         twice = self._keep(kinds.where("n > 1").select("s", "t").distinct(), "span-twice")
-        settled = self._keep(found.join(twice, ["s", "t"]).select("rid", "first", "last"), "settled")
-        open_ = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
-        two = share(bit_filter(self._keep(open_.select("h"), "open"), "h"))
+        settled = self._keep(found.join(twice.hint("merge"), ["s", "t"]).select("rid", "first", "last"), "settled")
+        drop(found)
+        open_ = self._keep(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("h"), "open")
+        two = share(bit_filter(open_, "h"))
+        # Of each span, one text speaks for all: its windows are ranked for those that differ from it.
+        speakers = kinds.join(open_, "h").select(F.col("s").bitwiseXOR(F.col("t")).bitwiseXOR(F.col("rid")).bitwiseXOR(F.shiftleft("rid", 21)).alias("key"))
+        speak = share(bit_filter(self._keep(speakers, "speakers"), "key"))
         sections = [section_of(k) for k in range(SECTIONS)]
 
-        def candidates(gram, a):
-            return np.nonzero(hits(one.value, gram[a]) & hits(two.value, gram[a]))[0]
+        def candidates(rid, data, gram, a, f, l):
+            k = np.nonzero(hits(one.value, gram[a]) & hits(two.value, gram[a]))[0]
+            s, t = digests(data, k, a, f, l)
+            own = np.int64(rid)
+            return k[hits(speak.value, s ^ t ^ own ^ (own << np.int64(21)))]
 
         def shared(ranks, n, at, first, last, k):
             """Of the anchors, those with windows in section k, and the ranks of what these windows share."""
@@ -174,7 +184,7 @@ class Repeats:
 
         # 3
         def parts(rid, data, ranks, gram, a, f, l):
-            c = candidates(gram, a)
+            c = candidates(rid, data, gram, a, f, l)
             each = [shared(ranks, len(data), a[c], f[c], l[c], k)[1] for k in range(SECTIONS)]
             return list(np.unique(np.concatenate(each), return_counts=True))
 
@@ -183,7 +193,7 @@ class Repeats:
 
         # 4
         def windows(rid, data, ranks, gram, a, f, l):
-            c = candidates(gram, a)
+            c = candidates(rid, data, gram, a, f, l)
             a, f, l = a[c], f[c], l[c]
             places = [np.empty(0, np.int64)]
             for k, (x, y) in enumerate(sections):
@@ -199,7 +209,9 @@ class Repeats:
 
         left = self._scan(windows, "s long, t long, rid long, place int")
         again = self._keep(left.groupBy("s", "t").agg(F.count("*").alias("n")).where("n > 1").select("s", "t"), "windows")
-        single = self._keep(left.join(again, ["s", "t"]).select("rid", "place"), "single")
+        # Windows without a like one stay where they are.
+        four = bit_filter(again, "s")
+        single = self._keep(left.where(hit(four, F.col("s"))).join(again.hint("merge"), ["s", "t"]).select("rid", "place"), "single")
         return settled, single
 
 
@@ -222,7 +234,11 @@ def remove(docs: DataFrame) -> DataFrame:
             rows = [cut_text(t, [] if u is None else [(x["first"], x["last"]) for x in u], p) for t, u, p in zip(texts, firsts, places, strict=True)]
             yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return r.docs.join(marks, "rid", "left").select("doc_id", cut(F.col("text"), F.col("runs"), F.col("places")).alias("r")).select("doc_id", "r.*")
+    # Texts without marks do not move.
+    marked = hit(bit_filter(marks, "rid"), F.col("rid"))
+    none = [F.lit(None).cast(marks.schema[c].dataType).alias(c) for c in ("runs", "places")]
+    both = r.docs.where(marked).join(marks.hint("merge"), "rid", "left").select("doc_id", "text", "runs", "places").union(r.docs.where(~marked).select("doc_id", "text", *none))
+    return both.select("doc_id", cut(F.col("text"), F.col("runs"), F.col("places")).alias("r")).select("doc_id", "r.*")
 
 
 def cut_text(text: str | None, runs: list[tuple[int, int]], places) -> tuple[int, int, int, bytes, str]:
