@@ -393,3 +393,32 @@ def test_odd_table(spark, odd, tmp_path):
 
 def test_empty_table(spark, empty, tmp_path):
     assert all(v == [] for v in run_all(spark, empty, tmp_path).values())
+
+
+def test_links_of_cells_too_full_for_a_task(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HELD", 3)
+    rng = random.Random(9)
+    base = rng.getrandbits(63)
+    fps = {base}
+    while len(fps) < 8:
+        x = base
+        for k in rng.sample(range(63), rng.randint(1, 5)):
+            x ^= 1 << k
+        fps.add(x)
+    comp = {r.id: r.component for r in components(simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), dense=1).distinct()).collect()}
+    assert {x: comp.get(x, x) for x in fps} == slow_components({x: x for x in fps})
+
+
+def test_links_at_wider_distances(spark):
+    rng = random.Random(11)
+    base = [rng.getrandbits(63) for _ in range(4)]
+    fps = set(base)
+    for b in base:
+        for _ in range(6):
+            x = b
+            for k in rng.sample(range(63), rng.randint(1, 9)):
+                x ^= 1 << k
+            fps.add(x)
+    found = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), 6, 9, 4, 64).distinct()
+    comp = {r.id: r.component for r in components(found).collect()}
+    assert {x: comp.get(x, x) for x in fps} == slow_components({x: x for x in fps}, 6)
