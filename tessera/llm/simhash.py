@@ -84,6 +84,12 @@ def _masks(groups: int, distance: int, segments: int = 32) -> list[int]:
     return [_signed(sum(part[k] for k in own)) for own in combinations(range(groups), groups - distance)]
 
 
+def _parts(free: int, n: int) -> list[int]:
+    """``n`` masks that share the bits set in ``free`` among them."""
+    bits = [k for k in range(64) if free >> k & 1]
+    return [_signed(sum(1 << k for k in bits[round(j * len(bits) / n) : round((j + 1) * len(bits) / n)])) for j in range(n)]
+
+
 def _cells(points: DataFrame, value: Column, masks: list[int]) -> DataFrame:
     """A row (c, cell, fp) for each fingerprint and mask."""
     keys = F.array(*(F.struct(F.lit(k).alias("c"), value.bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(masks)))
@@ -112,12 +118,14 @@ def links(points: DataFrame, distance: int = 3, groups: int = 6, dense: int = 25
 
     Cells of at most ``dense`` fingerprints give all their linked pairs.  Fuller ones, up to
     ``HELD``, are compared within one task, which gives links that connect all that the cell links.
-    The fingerprints of still fuller cells are dealt again by choices of groups of their
-    bits themselves, of which at most 2^12 to 2^16 fit one cell.  So every link is a row, or its ends are connected by rows, and no
+    Those of still fuller cells are dealt again within their cell: their free bits make ``distance`` + 1 parts, of
+    which at least one does not differ.  A cell of fingerprints so alike that dealing only adds comparisons is
+    compared as it is, in one task and in memory that grows with its size and not its square.  So every link is a row, or its ends are connected by rows, and no
     row count grows with a square.  For wider distances the cells take ``segments`` of one bit (64),
     whose counts are the bits.
     """
-    cells = _cells(points, popcounts(F.col("fp")) if segments == 32 else F.col("fp"), _masks(groups, distance, segments))
+    masks = _masks(groups, distance, segments)
+    cells = _cells(points, popcounts(F.col("fp")) if segments == 32 else F.col("fp"), masks)
     sizes = save(cells.groupBy("c", "cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
     held = save(cells.join(sizes.where(F.col("n") <= HELD), ["c", "cell"]).select("c", "cell", "n", "fp"), "cells-held")
     few = held.where(F.col("n") <= dense)
@@ -126,12 +134,17 @@ def links(points: DataFrame, distance: int = 3, groups: int = 6, dense: int = 25
     pairs = a.join(b, ["c", "cell"]).where("a < b").where(near).where(hamming(F.col("a"), F.col("b")) <= distance).select("a", "b")
     out = "a long, b long"
     pairs = pairs.union(held.where(F.col("n") > dense).groupBy("c", "cell").applyInPandas(_forest(distance), out))
-    full = sizes.where(F.col("n") > HELD).select("c", "cell")
+    full = sizes.where(F.col("n") > HELD)
     if full.isEmpty():
         return pairs
-    hot = save(cells.join(full, ["c", "cell"], "left_semi").select("fp").distinct(), "cells-hot")
-    fine = _cells(hot, F.col("fp"), _masks(16 if distance <= 3 else 24, distance, 64))
-    return pairs.union(fine.groupBy("c", "cell").applyInPandas(_forest(distance), out))
+    hot = save(cells.join(full.select("c", "cell"), ["c", "cell"]).select("c", "cell", "fp"), "cells-hot")
+    parts = F.array(*(F.array(*map(F.lit, _parts(~m if segments == 64 else -1, distance + 1))) for m in masks))
+    fine = hot.select("c", "cell", "fp", F.posexplode(F.get(parts, F.col("c"))).alias("part", "m")).select("c", "cell", "part", F.col("fp").bitwiseAND(F.col("m")).alias("sub"), "fp")
+    square = F.sum(F.col("size").cast("double") * F.col("size"))
+    work = fine.groupBy("c", "cell", "part", "sub").agg(F.count("*").alias("size")).groupBy("c", "cell").agg(square.alias("fine"))
+    pays = save(full.join(work, ["c", "cell"]).select("c", "cell", (F.col("fine") < F.col("n").cast("double") * F.col("n")).alias("pays")), "cells-pay")
+    pairs = pairs.union(fine.join(pays.where("pays"), ["c", "cell"], "left_semi").groupBy("c", "cell", "part", "sub").applyInPandas(_forest(distance), out))
+    return pairs.union(hot.join(pays.where("NOT pays"), ["c", "cell"], "left_semi").groupBy("c", "cell").applyInPandas(_forest(distance), out))
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3, groups: int = 6, segments: int = 32, dense: int = 256) -> DataFrame:
