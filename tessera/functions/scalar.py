@@ -13,7 +13,7 @@ def exact_round(x: Column, digits: int) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of a-z and 0-9 of two characters or more, in order."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: F.length(t) >= 2)
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
 def token_count(text: Column) -> Column:
@@ -58,15 +58,13 @@ def strip_fence(text: Column) -> Column:
 
 
 def parse_score(raw: Column) -> Column:
-    """A critic's score: a flat JSON object with one, valid JSON's field, or, where there is no
-    valid JSON, the first number 0.x; clamped to 0..1, null if nothing is found."""
-    flat = F.nullif(F.regexp_extract(raw, r'\{[^}]*"score"\s*:\s*([\d.]+)[^}]*\}', 1), F.lit(""))
-    field = F.get_json_object(raw, "$.score")
+    """A critic's score: the number in a flat JSON object's score field, else the score of valid JSON, or, where
+    there is no valid JSON, the first number 0.x; clamped to 0..1, null if nothing is found."""
+    part = lambda pattern: F.nullif(F.regexp_extract(raw, pattern, 1), F.lit("")).try_cast("double")
     is_json = F.try_parse_json(raw).isNotNull() & (F.trim(raw) != "")
-    loose = F.nullif(F.regexp_extract(raw, r"(0\.\d+)", 1), F.lit(""))
-    value = F.coalesce(flat.try_cast("double"), F.when(is_json, field.try_cast("double")).otherwise(loose.try_cast("double")))
-    negative = F.nullif(F.regexp_extract(raw, r'"score"\s*:\s*(-[\d.]+)', 1), F.lit("")).try_cast("double")
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(negative, value))) + F.when(F.coalesce(negative, value).isNull(), F.lit(None).cast("double")).otherwise(F.lit(0.0))
+    rest = F.when(is_json, F.get_json_object(raw, "$.score").try_cast("double")).otherwise(part(r"(0\.\d+)"))
+    value = F.coalesce(part(r'\{[^}]*"score"\s*:\s*([\d.]+)[^}]*\}'), rest)
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
 def keyword_hit_rate(keywords: Column, answer: Column) -> Column:

@@ -1,21 +1,24 @@
-"""BM25 (Okapi) over chunks: postings, statistics, scores, top k for many questions at once.
-
-Negative idf values are replaced by epsilon times the mean idf.  Chunks that no term matches
-score 0 and still fill the top k, smallest id first, as do ties.
+"""BM25 (Okapi) over chunks: an index, and the top k of many questions at once.
+
+A batch of questions reads each chunk's tokens once and keeps those that it asks for; nothing else is exploded or
+shuffled, and the terms' document counts come from what was kept.  The whole vocabulary is counted only where
+a term of more than half of all chunks calls for the mean idf (negative values are replaced by epsilon times it).
+``written`` keeps tokens and counts for further questions; ``clustered`` adds postings sorted by term, of which
+single questions read the row groups of their terms.  Chunks that no term matches score 0 and still fill the top
+k, smallest id first, as do ties.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import DEFAULTS, Settings
 from tessera.functions.scalar import exact_round, tokens
+from tessera.storage import keep
 
-#: Most distinct question terms that are broadcast against the postings.
-HELD_TERMS = 200_000
+#: Most distinct terms of a batch of questions that are put into the plan as literals, or broadcast with their weights.
+LITERAL_TERMS, HELD_TERMS = 2_000, 200_000
 
 
 def held(df: DataFrame, rows: int) -> DataFrame:
@@ -23,65 +26,151 @@ def held(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-@dataclass
+def _forward(corpus: DataFrame) -> DataFrame:
+    return corpus.select("chunk_id", tokens(F.col("content")).alias("t")).select("chunk_id", F.size("t").alias("dl"), "t")
+
+
+def _counted(forward: DataFrame) -> DataFrame:
+    """(term, df, n_tokens) in one pass; the row without a term counts all chunks and their tokens."""
+    each = forward.select("dl", F.explode(F.array_append(F.array_distinct("t"), F.lit(None).cast("string"))).alias("term"))
+    return each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("n_tokens"))
+
+
+def _sizes(rows: DataFrame, chunks: Column, n_tokens: Column) -> DataFrame:
+    """(n_docs, n_tokens, avgdl): one row."""
+    out = rows.agg(F.coalesce(chunks, F.lit(0)).cast("long").alias("n_docs"), F.coalesce(n_tokens, F.lit(0)).cast("long").alias("n_tokens"))
+    return out.withColumn("avgdl", F.try_divide("n_tokens", "n_docs"))
+
+
+def _raw(terms: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``terms`` (df among the columns) with raw_idf and avgdl."""
+    n = F.col("n_docs")
+    raw = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return terms.crossJoin(F.broadcast(sizes)).withColumn("raw_idf", raw).drop("n_docs", "n_tokens")  # one row
+
+
 class Bm25Index:
-    """Derived tables of a corpus (chunk_id, content): postings, term and corpus statistics."""
+    """Tables of a corpus (chunk_id, content), computed when they are asked for and then written once."""
 
-    chunks: DataFrame  # chunk_id, dl
-    postings: DataFrame  # chunk_id, term, tf, dl
-    terms: DataFrame  # term, df, raw_idf
-    corpus: DataFrame  # n_docs, avgdl, mean_idf
-    settings: Settings = DEFAULTS
+    def __init__(self, forward: DataFrame, counted: DataFrame | None = None, settings: Settings = DEFAULTS, inverted: DataFrame | None = None) -> None:
+        self.forward = forward  # chunk_id, dl, t (tokens in order)
+        self.settings = settings
+        self.inverted = inverted  # chunk_id, dl, term, tf, sorted by term
+        self._counted = counted
 
     @classmethod
     def build(cls, corpus: DataFrame, settings: Settings = DEFAULTS) -> Bm25Index:
-        tok = corpus.select("chunk_id", tokens(F.col("content")).alias("t"))
-        chunks = tok.select("chunk_id", F.size("t").alias("dl"))
-        each = tok.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-        postings = each.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
-        sizes = chunks.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-        df = tok.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        terms = df.crossJoin(F.broadcast(sizes)).select("term", "df", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw_idf"))
-        stats = sizes.crossJoin(F.broadcast(terms.agg(F.avg("raw_idf").alias("mean_idf"))))  # one row each
-        return cls(chunks, postings, terms, stats, settings)
-
-    def add(self, corpus: DataFrame, new: DataFrame) -> Bm25Index:
-        """The index of ``corpus`` and the chunks of ``new`` whose ids it lacks, each id once."""
-        return Bm25Index.build(add_chunks(corpus, new), self.settings)
+        return cls(_forward(corpus), settings=settings)
+
+    @property
+    def counted(self) -> DataFrame:
+        if self._counted is None:
+            self._counted = keep(_counted(self.forward), "bm25-terms")
+        return self._counted
+
+    def written(self) -> Bm25Index:
+        """With tokens and counts written, for more than one batch of questions."""
+        return Bm25Index(keep(self.forward, "bm25-forward"), self.counted, self.settings, self.inverted)
+
+    def clustered(self) -> Bm25Index:
+        """With postings written in the order of their terms; a term of very many chunks is spread over files by chunk."""
+        return Bm25Index(self.forward, self.counted, self.settings, keep(_clustered(self.forward), "bm25-inverted"))
+
+    def add(self, new: DataFrame) -> Bm25Index:
+        """The index with the chunks of ``new`` whose ids it lacks, each id once.  Only those are tokenised; counts are sums."""
+        fresh = new.select("chunk_id", "content").dropDuplicates(["chunk_id"]).join(self.forward.select("chunk_id"), "chunk_id", "left_anti")
+        own = keep(_forward(fresh), "bm25-forward")
+        counted = self.counted.unionByName(_counted(own)).groupBy("term").agg(F.sum("df").alias("df"), F.sum("n_tokens").alias("n_tokens"))
+        inverted = None if self.inverted is None else self.inverted.unionByName(keep(_clustered(own), "bm25-inverted"))
+        return Bm25Index(self.forward.unionByName(own), keep(counted, "bm25-terms"), self.settings, inverted)
+
+    @property
+    def terms(self) -> DataFrame:
+        return self.counted.where(F.col("term").isNotNull()).select("term", "df")
+
+    @property
+    def sizes(self) -> DataFrame:
+        none = F.col("term").isNull()
+        return _sizes(self.counted, F.sum(F.when(none, F.col("df"))), F.sum(F.when(none, F.col("n_tokens"))))
+
+    @property
+    def postings(self) -> DataFrame:
+        return _postings(self.forward) if self.inverted is None else self.inverted
+
+    @property
+    def chunks(self) -> DataFrame:
+        return self.forward.select("chunk_id", "dl")
+
+    def _mean(self) -> DataFrame:
+        return _raw(self.terms, self.sizes).agg(F.avg("raw_idf").alias("mean_idf"))
+
+    @property
+    def corpus(self) -> DataFrame:
+        """n_docs, avgdl, mean_idf: one row."""
+        return self.sizes.select("n_docs", "avgdl").crossJoin(F.broadcast(self._mean()))
 
     def count(self) -> DataFrame:
-        return self.chunks.agg(F.count("*").alias("n"))
+        return self.sizes.select(F.col("n_docs").alias("n"))
+
+    def _floored(self, raw: DataFrame) -> DataFrame:
+        idf = F.when(F.col("raw_idf") < 0, F.lit(self.settings.epsilon) * F.col("mean_idf")).otherwise(F.col("raw_idf"))
+        return raw.crossJoin(F.broadcast(self._mean())).withColumn("idf", idf).drop("mean_idf")  # one row
 
     def idf(self) -> DataFrame:
-        eps = self.settings.epsilon
-        return self.terms.crossJoin(F.broadcast(self.corpus.select("mean_idf"))).select("term", "df", F.when(F.col("raw_idf") < 0, F.lit(eps) * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
+        """(term, df, idf) of the whole vocabulary."""
+        return self._floored(_raw(self.terms, self.sizes)).select("term", "df", "idf")
 
     def scores(self, questions: DataFrame) -> DataFrame:
         """(query_id, chunk_id, bm25_score) of chunks that share a term; repeated terms count each time."""
         k1, b = self.settings.k1, self.settings.b
         wanted = questions.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-        weighted = wanted.join(self.idf(), "term")
-        hit = self.postings.join(held(weighted, HELD_TERMS), "term").crossJoin(F.broadcast(self.corpus.select("avgdl")))
+        found = wanted.select("term").distinct().limit(LITERAL_TERMS + 1).toPandas()["term"].tolist()
+        if len(found) > LITERAL_TERMS:
+            postings, terms, sizes = self.postings, self.terms, self.sizes
+        elif self.inverted is not None:
+            postings, terms, sizes = self.inverted.where(F.col("term").isin(found)), self.terms.where(F.col("term").isin(found)), self.sizes
+        else:
+            own = keep(self.forward.select("chunk_id", "dl", F.filter("t", lambda x: x.isin(found)).alias("t")), "bm25-asked")
+            postings, terms = _postings(own), own.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+            sizes = _sizes(own, F.count("*"), F.sum("dl"))
+        raw = keep(_raw(terms.join(held(wanted, HELD_TERMS), "term"), sizes), "bm25-weights")
+        n, least = raw.agg(F.count("*"), F.min("raw_idf")).first()
+        weights = self._floored(raw) if n and least < 0 else raw.withColumn("idf", F.col("raw_idf"))
+        hit = postings.join(F.broadcast(weights) if n <= HELD_TERMS else weights, "term")
         part = F.col("times") * F.col("idf") * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
         return hit.groupBy("query_id", "chunk_id").agg(exact_round(F.sum(part), 6).alias("bm25_score"))
 
     def top_k(self, questions: DataFrame, k: int | None = None) -> DataFrame:
         """(query_id, chunk_id, bm25_score, rank) for every question, rank from 1."""
         k = k or self.settings.bm25_top_k
-        ids = questions.select("query_id").distinct()
-        matched = self.scores(questions)
+        questions = questions.select("query_id", "query")
         by = Window.partitionBy("query_id").orderBy(F.col("bm25_score").desc(), "chunk_id")
-        best = matched.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-        # Zero scores fill up: a question whose m chunks match needs no zero row beyond the first m + k ids.
-        need = ids.join(matched.groupBy("query_id").agg(F.count("*").alias("m"), F.count_if(F.col("bm25_score") >= 0).alias("good")), "query_id", "left").fillna(0).where(F.col("good") < k)
-        first = need.agg((F.max("m") + k).cast("int").alias("n")).first().n or 0
-        if not first:
+        matched = self.scores(questions)
+        best = keep(matched.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k), "bm25-best")
+        # Zero scores fill up where fewer than k chunks score 0 or more.  All m < k matches are among the best, so k + m ids hold enough others.
+        good = best.groupBy("query_id").agg(F.count_if(F.col("bm25_score") >= 0).alias("good"), F.count("*").alias("m"))
+        need = questions.select("query_id").distinct().join(good, "query_id", "left").fillna(0).where(F.col("good") < k)
+        first, full = need.agg(F.max("m"), F.count_if(F.col("m") >= k)).first()
+        if first is None:
             return best
-        zero = need.select("query_id").crossJoin(F.broadcast(self.chunks.select("chunk_id").orderBy("chunk_id").limit(first))).join(matched, ["query_id", "chunk_id"], "left_anti")
+        ids = self.forward.select("chunk_id")
+        if full:  # negative scores beyond the best k (a negative mean idf): what matches is not known from the best
+            zero = need.select("query_id").crossJoin(ids).join(matched, ["query_id", "chunk_id"], "left_anti")
+        else:
+            zero = need.select("query_id").crossJoin(F.broadcast(ids.orderBy("chunk_id").limit(first + k))).join(best, ["query_id", "chunk_id"], "left_anti")
         both = best.drop("rank").union(zero.select("query_id", "chunk_id", F.lit(0.0)))
         return both.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+def _postings(forward: DataFrame) -> DataFrame:
+    """(chunk_id, dl, term, tf)."""
+    return forward.select("chunk_id", "dl", F.explode("t").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+
+
+def _clustered(forward: DataFrame) -> DataFrame:
+    return _postings(forward).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+
+
 def add_chunks(corpus: DataFrame, new: DataFrame) -> DataFrame:
     """Append the chunks whose id is new, each id once."""
     return corpus.unionByName(new.dropDuplicates(["chunk_id"]).join(corpus.select("chunk_id"), "chunk_id", "left_anti").select(*corpus.columns))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import DEFAULTS
 from tessera.functions.scalar import cache_key, cosine, exact_round
 from tessera.operators.quality import composite
+from tessera.operators.tables import upsert_latest
 
 
 def live(entries: DataFrame, now: Column) -> DataFrame:
@@ -52,5 +53,4 @@ def write(entries: DataFrame, answers: DataFrame) -> DataFrame:
     """Entries after the passed ``answers`` (seq, evaluation_passed and entry columns) are put in; the last write of a key wins."""
     fresh = answers.where("evaluation_passed").drop("evaluation_passed")
     both = entries.withColumn("seq", F.lit(-1).cast("long")).unionByName(fresh.withColumn("seq", F.col("seq").cast("long")))
-    w = Window.partitionBy("cache_key").orderBy(F.col("seq").desc())
-    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "seq")
+    return upsert_latest(both, "cache_key", "seq").drop("seq")

@@ -44,5 +44,7 @@ def rerank(ranked: DataFrame, k: int = DEFAULTS.rerank_top_k, score: Column | No
 
 def union_first(ranked: DataFrame, *order: str) -> DataFrame:
     """Each non-empty chunk_id once, its first occurrence in ``order``."""
-    w = Window.partitionBy("chunk_id").orderBy(*order)
-    return ranked.where(F.col("chunk_id").isNotNull() & (F.col("chunk_id").cast("string") != "")).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    some = ranked.where(F.col("chunk_id").isNotNull() & (F.col("chunk_id").cast("string") != ""))
+    rest = [c for c in ranked.columns if c != "chunk_id"]
+    first = some.groupBy("chunk_id").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return first.select(*(F.col(c) if c == "chunk_id" else F.col("_r")[c].alias(c) for c in ranked.columns))

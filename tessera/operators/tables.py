@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,10 +12,11 @@ def insert_ignore(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def upsert_latest(rows: DataFrame, key: str | list[str], seq: str) -> DataFrame:
-    """One row a key, the one of largest ``seq``."""
+    """One row a key, the one of largest ``seq`` (which is combined before the shuffle, so that a key's rows do not meet)."""
     keys = [key] if isinstance(key, str) else key
-    w = Window.partitionBy(*keys).orderBy(F.col(seq).desc())
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    rest = [c for c in rows.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(seq).isNotNull(), F.col(seq))).alias("_r"))
+    return last.select(*(F.col(c) if c in keys else F.col("_r")[c].alias(c) for c in rows.columns))
 
 
 def merge_eval_run(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -8,8 +8,6 @@ written to the shared folder, so that lineage stays short and lost executors cos
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,18 +21,10 @@ from tessera.operators.cache import exact_tier, live
 from tessera.operators.fusion import rerank, rrf, union_first
 from tessera.operators.vector import batch_top_k
 from tessera.sources.files import web_search
+from tessera.storage import keep
 from tessera.sources.providers import Embedder, HashEmbedder, Offline, embed_distinct
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """``df`` as written to the shared folder and read again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tessera-plans"
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @dataclass
 class Engine:
     """A corpus (chunk_id, source, content) with its indexes, cache and providers."""
@@ -47,8 +37,7 @@ class Engine:
     web_pages: DataFrame | None = None
 
     def __post_init__(self) -> None:
-        self.index = Bm25Index.build(self.corpus, self.settings)
-        self.index.postings = keep(self.index.postings)
+        self.index = Bm25Index.build(self.corpus, self.settings).clustered()
         self.vectors = keep(embed_distinct(self.corpus.select("chunk_id", "content"), "content", self.embedder).select(F.col("chunk_id").alias("id"), "embedding"))
 
     def _retrieve(self, asked: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar as s
 from tessera.operators import cache, evaluate, fusion, ingest, quality, tables, trace, vector
-from tessera.operators.bm25 import Bm25Index, add_chunks
+from tessera.operators.bm25 import Bm25Index
 from tessera.plans import adaptive
 from tessera.plans.frames import SCORES_SQL, corpus, questions, scores, table, vectors
 from tessera.sources import files
@@ -89,11 +89,15 @@ def bm25_batch_topk(spark, sf):
     return index(spark, sf).top_k(questions(spark, sf), 20).select("query_id", "chunk_id", "bm25_score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT count(DISTINCT doc_id) AS n FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id + 10 FROM documents)")
+@query(f"""WITH alld AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 10, text FROM documents WHERE doc_id + 10 NOT IN (SELECT doc_id FROM documents)),
+tok AS (SELECT doc_id, {TOK.format('text')} AS t FROM alld), corp AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
+raw AS (SELECT term, ln(((SELECT n FROM corp) - count(*) + 0.5e0) / (count(*) + 0.5e0)) AS raw_idf FROM (SELECT DISTINCT doc_id, unnest(t) AS term FROM tok) GROUP BY 1)
+SELECT n, {rnd('avgdl', 6)} AS avgdl, {rnd('(SELECT avg(raw_idf) FROM raw)', 6)} AS mean_idf FROM corp""")
 def bm25_incremental(spark, sf):
-    """Adding a shifted copy of the corpus indexes only the ids that are new."""
+    """Adding a shifted copy of the corpus indexes only the ids that are new; the sums follow."""
     c = corpus(spark, sf)
-    return add_chunks(c, c.withColumn("chunk_id", F.col("chunk_id") + 10)).agg(F.count("*").alias("n"))
+    both = index(spark, sf).add(c.withColumn("chunk_id", F.col("chunk_id") + 10))
+    return both.corpus.select(F.col("n_docs").alias("n"), s.exact_round(F.col("avgdl"), 6).alias("avgdl"), s.exact_round(F.col("mean_idf"), 6).alias("mean_idf"))
 
 
 # --- vectors and fusion -----------------------------------------------------------------

@@ -98,3 +98,15 @@ def test_cells_reach_recall(spark):
     exact = {r.id for r in vector.top_k(v, q, 10).collect()}
     near = {r.id for r in vector.CellIndex(v, cells=8).top_k(q, 10, probes=3).collect()}
     assert len(exact & near) >= 9
+
+
+def test_an_index_that_grew_equals_one_built_anew(spark):
+    rows = [(f"c{i}", f"red word{i % 3} blue{i} common") for i in range(8)] + [("c8", ""), ("c9", None)]
+    c = corpus(spark, rows)
+    grown = Bm25Index.build(corpus(spark, rows[:5])).clustered().add(corpus(spark, rows[3:] + rows[7:8]))
+    whole = Bm25Index.build(c)
+    q = spark.createDataFrame([(1, "word1 common"), (2, "blue4 absent"), (3, "")], "query_id int, query string")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(grown.terms) == key(whole.terms)
+    assert grown.corpus.first() == whole.corpus.first()
+    assert key(grown.top_k(q, 4)) == key(whole.top_k(q, 4)) == key(whole.written().top_k(q, 4))
