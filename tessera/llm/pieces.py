@@ -16,7 +16,7 @@ import regex
 class PieceMemo:
     """``encode`` maps a list of pieces to their ids (bytes of little-endian uint32 each)."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], pattern: str, limit: int = 1_000_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], pattern: str, limit: int = 300_000) -> None:
         self.encode, self.split, self.limit = encode, regex.compile(pattern).findall, limit
         self.known: dict[str, bytes] = {}
 

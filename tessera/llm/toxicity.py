@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +22,8 @@ from tessera.llm.common import table
 
 #: Most labelled rows that are read for training, the ones of smallest hashed doc_id.
 SAMPLE_ROWS = 6000
-#: The longest text, in characters, that the training sample takes (scores read every whole text).
-LONGEST = 20_000
+#: Words that a worker remembers, some 30 MB.
+MEMO = 150_000
 #: n-grams with zero vectors that each average holds besides the text's own, against chance in short texts.
 PAD = 200
 SIZES = (3, 4, 5)
@@ -45,7 +46,7 @@ class Model:
     memo: dict[str, tuple[float, int]] = field(default_factory=dict)
 
     def _word(self, word: str) -> tuple[float, int]:
-        if len(self.memo) > 600_000:
+        if len(self.memo) >= MEMO:
             self.memo.clear()
         grams = word_grams(word)
         self.memo[word] = out = (sum(self.push.get(g, 0.0) for g in grams), len(grams))
@@ -61,13 +62,17 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + total / (n + PAD), -500, 500))))
 
 
-def train(texts: list[str], labels: np.ndarray, dim: int = 4, least_docs: int = 16, epochs: int = 12, rate: float = 1.0, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Fit vectors and weights by minibatch Adam on the cross entropy.  n-grams whose words are
+def bag(text: str | None) -> Counter[str]:
+    """How often each word of a whole text occurs."""
+    return Counter(_words((text or "").lower()))
+
+
+def train(bags: list[Counter[str]], labels: np.ndarray, dim: int = 4, least_docs: int = 16, epochs: int = 12, rate: float = 1.0, decay: float = 1e-4, seed: int = 7) -> Model:
+    """Fit vectors and weights by minibatch Adam on the cross entropy, from texts' words.  n-grams whose words are
     in fewer than ``least_docs`` texts, added up, keep zero vectors.  Without both labels the score is the labels' mean."""
-    if len(texts) == 0 or len(set(labels.tolist())) < 2:
-        mean = float(labels.mean()) if len(texts) else 0.0
+    if len(bags) == 0 or len(set(labels.tolist())) < 2:
+        mean = float(labels.mean()) if len(bags) else 0.0
         return Model({}, float(np.log((mean + 1e-3) / (1 - mean + 1e-3))))
-    bags = [Counter(_words(t.lower())) for t in texts]
     docs_of: Counter[str] = Counter()
     for words in bags:
         docs_of.update(words.keys())
@@ -116,19 +121,27 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 4, least_docs: int =
     return Model({names[i]: float(pull[i]) for i in np.nonzero(keep)[0]}, float(b[1] - b[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, longest: int = LONGEST) -> Model:
-    """Train on at most ``rows`` labelled documents outside the held-out fifth.
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+    """Train on at most ``rows`` labelled documents outside the held-out fifth, of any length.
 
-    The sample is the labels of smallest hashed doc_id whose text has at most ``longest``
-    characters, so what reaches the driver is bounded by the two parameters.  Only text and
-    label are learned from.  Of a doc_id's repeated labels the larger counts.
+    The sample is the labels of smallest hashed doc_id.  Executors count its texts' words, so that a row that
+    reaches the driver has each word once.  Only text and label are learned from.  Of a doc_id's repeated labels the
+    larger counts; null texts have no words.  Without labelled rows every text gets the same score.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = [bag(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array([list(b) for b in bags], pa.list_(pa.string())), pa.array([list(b.values()) for b in bags], pa.list_(pa.int32()))], ["doc_id", "toxic", "words", "times"])
+
     # The sample is at most ``rows`` pairs of numbers, which bounds the broadcast.
-    texts = docs.where(F.length("text") <= longest).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    got = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "toxic").toPandas()
-    return train(got["text"].tolist(), got["toxic"].to_numpy(np.int64))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
+    counted = texts.mapInArrow(count, "doc_id long, toxic long, words array<string>, times array<int>")
+    got = counted.orderBy(F.xxhash64("doc_id"), "doc_id", F.hash("words", "times")).limit(rows).select("toxic", "words", "times").toPandas()
+    bags = [Counter(dict(zip(w, map(int, n), strict=True))) for w, n in zip(got["words"], got["times"], strict=True)]
+    return train(bags, got["toxic"].to_numpy(np.int64))
 
 
 def score(model: Model, text: Column) -> Column:
@@ -144,7 +157,9 @@ def score(model: Model, text: Column) -> Column:
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted.  Other columns are not read; a null doc_id is not held out."""
+    """Per row: doc_id, held_out, score, predicted.  Other columns are not read, whatever their names; a null doc_id is
+    not held out.  Null and empty texts get the bias alone, very long ones are read whole, repeated rows give repeated
+    rows, no rows none.  A score of just one half counts as label 1."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return docs.select("doc_id", held.alias("held_out"), score(model, F.col("text")).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
