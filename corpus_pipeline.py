@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each kept as Parquet for the next.
 
 Every stage works on all rows that its predecessor kept.  All but the last return the
-columns of ``documents``.
+columns of ``documents``, whichever they are: extra columns pass through, also where an operator's own
+columns have the same names.  An empty table gives an empty table of the same columns.
 """
 
 from __future__ import annotations
@@ -11,16 +12,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, linededup, simhash, toxicity
-from tessera.llm.common import save, table
+from tessera.llm import bpe, decontaminate, linededup, simhash_wide, toxicity
+from tessera.llm.common import free_name, save, table
 
-#: Near-duplicate stages take shingles of five words.  Six differing bits of 64 stand for a similarity of
-#: about 0.9 of the shingles; cells are choices of 3 of 9 groups of one-bit segments.
-SHINGLE, DISTANCE, GROUPS = 5, 6, 9
+#: Words a shingle, and the least similarity of near copies.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, trained on the labelled ones among them, scores under one half."""
+    """Documents that the model, trained on the labelled ones among them, scores under one half.
+
+    Null and empty texts get the model's bias, as texts without a word do; repeated rows are scored alike.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.where(toxicity.score(model, F.col("text")) < 0.5)
 
@@ -28,25 +31,22 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the lines found in ten documents or more.
 
-    n_chars is counted anew where lines went.  A document that loses every line stays, with an empty text.
+    n_chars, where there is such a column, is counted anew where lines went.  A document that loses every line
+    stays, with an empty text; one without such lines stays as it is, a null text null.
     """
-    out = linededup.drop_lines(docs, linededup.LineIndex.build(docs))
-    gone = F.col("n_dropped") > 0
-    return out.withColumns({"text": F.when(gone, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(gone, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    kept = free_name(docs, "kept")
+    out = linededup.dropped(docs, linededup.LineIndex.build(docs), kept)
+    new = {"text": F.col(kept)["kept_text"], "n_chars": F.length(F.col(kept)["kept_text"]).cast("long")}
+    return out.select(*(F.when(F.col(kept)["n_dropped"] > 0, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in docs.columns))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest doc_id.
-
-    Documents without any word are no copies of each other and stay, as do rows without doc_id.
-    """
-    near = simhash.near_duplicates(docs.where(F.rlike(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))), SHINGLE, DISTANCE, GROUPS, segments=64, dense=16)
-    copies = save(near.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct(), "copies")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies stays, that of the smallest doc_id; see ``simhash_wide.one_of_each``."""
+    return simhash_wide.one_of_each(docs, SHINGLE, SIMILARITY)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item; null, empty and repeated rows are judged like others."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
