@@ -2,9 +2,10 @@
 
 Numbers, names and units become typed placeholders, so that a question asked again with
 other figures or persons keeps its template.  Windows of template tokens are joined by hash
-with those of the benchmark.  A document that has most windows of an item is a candidate;
-it counts if the values in its placeholders follow the item's consistently: one value of
-the item stands for one value of the document.
+with those of the benchmark, and what they join is compared token by token.  A document that has most windows of an item
+is a candidate; it counts if the values in its placeholders follow the item's consistently: one value of
+the item stands for one value of the document, and the other way round.  Items too short for
+windows count where they stand in a document whole.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ WIDTH, SHARE = 5, 0.8
 HELD_WINDOWS = 2_000_000
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 _UNITS = "km|cm|mm|m|miles?|feet|ft|inch(?:es)?|kg|g|mg|lbs?|pounds?|tons?|litres?|liters?|l|ml|hours?|hrs?|h|minutes?|min|seconds?|sec|s|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?|mph|kmh|watts?|kw|volts?"
-#: What each placeholder replaces, in this order.  A name is a capitalised word within a sentence.
+#: What each placeholder replaces, in this order.  A name is a run of capitalised words, a sentence's first word among
+#: them: it may be a name, and as a value it is compared all the same.  Scripts without case have no names.
 _PLACES = (
-    (NAME, r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*"),
+    (NAME, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])(?: \p{Lu}\p{Ll}+(?![\p{L}\p{N}]))*"),
     (UNIT, rf"(?<=\d ?)(?:{_UNITS})(?![\p{{L}}\p{{N}}])"),
     (NUMBER, r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"),
 )
@@ -31,9 +33,19 @@ _BREAKS = rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}]+"
 _END = "\ue003"
 
 
+def _plain(text: Column) -> Column:
+    """The text without the marks that stand for placeholders here; null counts as empty."""
+    return F.translate(F.coalesce(text, F.lit("")), NUMBER + NAME + UNIT + _END, "    ")
+
+
+def raw_tokens(text: Column) -> Column:
+    """The text's words and numbers as they are, lower case, each between spaces."""
+    return F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.lower(_plain(text)), r"[^\p{L}\p{N}]+"), lambda x: x != ""), " "), F.lit(" "))
+
+
 def template(text: Column) -> Column:
     """The template's tokens, lower case, placeholders in place of values."""
-    t = F.coalesce(text, F.lit(""))
+    t = _plain(text)
     for mark, pattern in _PLACES:
         t = F.regexp_replace(t, pattern, f" {mark} ")
     return F.filter(F.split(F.lower(t), _BREAKS), lambda x: x != "")
@@ -41,13 +53,13 @@ def template(text: Column) -> Column:
 
 def values(text: Column) -> Column:
     """For each token of ``template(text)`` the value its placeholder replaced, null for other tokens."""
-    t = F.coalesce(text, F.lit(""))
+    t = _plain(text)
     for mark, pattern in _PLACES:
         # A value already marked is out of the later patterns' reach: each looks at what is between marks.
         inner = rf"{NUMBER}[^{_END}]*{_END}|{NAME}[^{_END}]*{_END}|{UNIT}[^{_END}]*{_END}"
         t = F.regexp_replace(t, rf"({inner})|({pattern})", f"$1 {mark}$2{_END} ") if mark == NAME else F.regexp_replace(t, rf"(?<![{NUMBER}{NAME}{UNIT}])(?:{pattern})(?![^{NUMBER}{NAME}{UNIT}]*{_END})", f" {mark}$0{_END} ")
     token = rf"[{NUMBER}{NAME}{UNIT}][^{_END}]*{_END}|[\p{{L}}\p{{N}}]+"
-    return F.transform(F.regexp_extract_all(F.lower(t), F.lit(token), F.lit(0)), lambda x: F.when(x.endswith(_END), F.substring(x, 2, 1 << 20)))
+    return F.transform(F.regexp_extract_all(F.lower(t), F.lit(token), F.lit(0)), lambda x: F.when(x.endswith(_END), F.substring(x, 2, 2**31 - 1)))
 
 
 def windows(tokens: Column) -> Column:
@@ -72,13 +84,19 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return own.join(own.groupBy("item_id").agg(F.count("*").alias("of")), "item_id")
 
 
+def _windows_as_text(tokens: Column) -> Column:
+    return F.when(F.size(tokens) >= WIDTH, F.transform(F.sequence(F.lit(0), F.size(tokens) - WIDTH), lambda i: F.array_join(F.slice(tokens, i + 1, WIDTH), " "))).otherwise(F.array().cast("array<string>"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, held_windows: int = HELD_WINDOWS) -> DataFrame:
     """(doc_id, text_key, item_id, n_windows, n_shared, n_slots, n_steady) of each leaking document and item.
 
     A document leaks an item if it has at least ``share`` of its windows, and at least
-    ``share`` of the item's placeholder values stand for one value each in the document, or in one
-    occurrence of the item in it.  Rows of one doc_id and text are one document; text_key is the text's hash.  Items of fewer
-    than five tokens, null or empty texts have no windows and match nothing.
+    ``share`` of the item's placeholder values stand for one value each in the document, and that for no other, or in one
+    occurrence of the item in it.  Rows of one doc_id and text are one document; text_key is the text's hash.  Items without
+    windows of two plain tokens are leaked where their words, two or more, stand in a document in a row; they have no
+    windows and slots.  An item of one word, null or empty is no passage and matches nothing.  Very long texts are read
+    whole; other columns are not read, whatever their names.  No documents or no items, no rows.
     """
     own = save(benchmark_windows(benchmark), "bench")
     small = own.count() <= held_windows
@@ -86,73 +104,116 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, he
     placed = _keyed(docs).select("doc_id", "text_key", template(F.col("text")).alias("t"))
     each = placed.select("doc_id", "text_key", F.explode(windows(F.col("t"))).alias("window"))
     shared = each.join(held(own), "window").groupBy("doc_id", "text_key", "item_id", "of", "window").agg(F.lit(1).alias("one"))
-    pairs = shared.groupBy("doc_id", "text_key", "item_id", "of").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= share * F.col("of"))
-    pairs = save(pairs, "leaks")
-    slots = _slots(docs, benchmark, pairs)
-    out = pairs.join(slots, (pairs.doc_id.eqNullSafe(slots.d)) & (pairs.text_key == slots.k) & (pairs.item_id == slots.i), "left")
-    n, steady = F.coalesce("n_slots", F.lit(0)), F.coalesce("n_steady", F.lit(0))
-    judged = save(out.select("doc_id", "text_key", "item_id", "of", "n_shared", n.alias("n_slots"), steady.alias("n_steady")), "leaks-judged")
+    pairs = shared.groupBy("doc_id", "text_key", "item_id", "of").agg(F.count("*").alias("n")).where(F.col("n") >= share * F.col("of"))
+    pairs = save(pairs.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("item_id").alias("i"), "of"), "leaks-hashed")
+    texts = save(_texts(docs, pairs), "leaks-texts")
+    items = benchmark.select(F.col("item_id").alias("i"), template(F.col("text")).alias("ti"), values(F.col("text")).alias("vi")).join(pairs.select("i").distinct(), "i", "left_semi")
+    items = save(items.dropDuplicates(["i"]), "leaks-items")
+    pairs = save(_verified(pairs, texts, items).where(F.col("n_shared") >= share * F.col("of")), "leaks")
+    slots = _slots(texts, items, pairs)
+    p, s = pairs.alias("p"), slots.alias("s")
+    out = p.join(s, F.expr("p.d <=> s.d AND p.k = s.k AND p.i = s.i"), "left").select("p.*", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_steady", F.lit(0)).alias("n_steady"))
+    judged = save(out, "leaks-judged")
     ok = F.col("n_steady") >= share * F.col("n_slots")
-    names = ["doc_id", "text_key", "item_id", F.col("of").alias("n_windows"), "n_shared", "n_slots", "n_steady"]
+    names = [F.col("d").alias("doc_id"), F.col("k").alias("text_key"), F.col("i").alias("item_id"), F.col("of").alias("n_windows"), "n_shared", "n_slots", "n_steady"]
     crossed = judged.where(~ok).drop("n_slots", "n_steady")
-    best = _occurrences(docs, benchmark, crossed, share)
-    again = crossed.join(best, crossed.doc_id.eqNullSafe(best.d) & (crossed.text_key == best.k) & (crossed.item_id == best.i))
-    return judged.where(ok).select(*names).union(again.select(*names))
+    c, b = crossed.alias("c"), _occurrences(texts, items, crossed, share).alias("b")
+    again = c.join(b, F.expr("c.d <=> b.d AND c.k = b.k AND c.i = b.i")).select("c.*", "b.n_slots", "b.n_steady")
+    none = F.lit(0).cast("long")
+    short = _short(docs, benchmark, own).select("doc_id", "text_key", "item_id", none.alias("n_windows"), none.alias("n_shared"), none.alias("n_slots"), none.alias("n_steady"))
+    return judged.where(ok).select(*names).union(again.select(*names)).union(short)
+
+
+def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(d, k, td, vd): template and values of the pairs' documents, each once."""
+    keys = pairs.select("d", "k").distinct()
+    keyed = _keyed(docs)
+    texts = keyed.join(keys, keyed.doc_id.eqNullSafe(keys.d) & (keyed.text_key == keys.k)).dropDuplicates(["d", "k"])
+    return texts.select("d", "k", template(F.col("text")).alias("td"), values(F.col("text")).alias("vd"))
+
+
+def _met(pairs: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
+    """``pairs`` with td, vd, ti, vi."""
+    p, t = pairs.alias("p"), texts.alias("t")
+    return p.join(t, F.expr("p.d <=> t.d AND p.k = t.k")).select("p.*", "td", "vd").join(items, "i")
+
 
+def _verified(pairs: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
+    """``pairs`` with n_shared: the item's distinct windows that the document has, compared as text."""
+    tokens = F.transform(_windows_as_text(F.col("ti")), lambda w: F.when(F.size(F.filter(F.split(w, " "), lambda x: ~x.isin(NUMBER, NAME, UNIT))) >= 2, w))
+    own = F.filter(tokens, lambda w: w.isNotNull())
+    return _met(pairs, texts, items).select("d", "k", "i", "of", F.size(F.array_intersect(own, _windows_as_text(F.col("td")))).cast("long").alias("n_shared"))
 
-def _occurrences(docs: DataFrame, benchmark: DataFrame, pairs: DataFrame, share: float) -> DataFrame:
+
+def _short(docs: DataFrame, benchmark: DataFrame, own: DataFrame) -> DataFrame:
+    """(doc_id, text_key, item_id) of items without windows, two words at least, that stand in a document whole.
+
+    Joined by the hash of their first two words, then compared as text.
+    """
+    rest = benchmark.join(own.select("item_id").distinct(), "item_id", "left_anti").select("item_id", raw_tokens(F.col("text")).alias("words"))
+    first = lambda words: F.xxhash64(F.get(words, F.lit(0)), F.get(words, F.lit(1)))
+    rest = rest.withColumn("w", F.split(F.trim("words"), " ")).where(F.size("w") >= 2).select("item_id", "words", first(F.col("w")).alias("pair"))
+    rest = save(rest.distinct(), "bench-short")
+    if rest.isEmpty():
+        return rest.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(0).cast("long").alias("text_key"), "item_id")
+    texts = _keyed(docs).select("doc_id", "text_key", raw_tokens(F.col("text")).alias("theirs")).withColumn("w", F.split(F.trim("theirs"), " "))
+    pairs = F.when(F.size("w") >= 2, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1))))).otherwise(F.array().cast("array<bigint>"))
+    small = rest.limit(HELD_WINDOWS + 1).count() <= HELD_WINDOWS
+    held = F.broadcast(rest) if small else rest  # checked: see HELD_WINDOWS
+    met = texts.select("doc_id", "text_key", "theirs", F.explode(pairs).alias("pair")).join(held, "pair")
+    return met.where(F.contains("theirs", "words")).select("doc_id", "text_key", "item_id").distinct()
+
+
+def _steady(each: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n_slots, n_steady): an item's values, and those that stand for one value of the document that stands for no other."""
+    each = each.select(*keys, "mine", "theirs").distinct()
+    back = each.groupBy(*keys, "theirs").agg(F.count("*").alias("of_theirs"), F.collect_set("mine").alias("all"))
+    one = back.select(*keys, F.explode("all").alias("mine"), "of_theirs").groupBy(*keys, "mine").agg(F.count("*").alias("n"), F.max("of_theirs").alias("m"))
+    return one.groupBy(*keys).agg(F.count("*").alias("n_slots"), F.count_if((F.col("n") == 1) & (F.col("m") == 1)).alias("n_steady"))
+
+
+def _occurrences(texts: DataFrame, items: DataFrame, pairs: DataFrame, share: float) -> DataFrame:
     """(d, k, i, n_slots, n_steady): of pairs with an occurrence of the item that is consistent by itself, its best.
 
     An occurrence is an offset of the item in the document at which at least ``share`` of the item's windows are found;
     its slots are compared place by place, so that equal windows elsewhere are not crossed.
     """
-    items = benchmark.select(F.col("item_id").alias("i"), template(F.col("text")).alias("ti"), values(F.col("text")).alias("vi"))
-    wanted = pairs.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("item_id").alias("i"), "of")
-    keyed, keys = _keyed(docs), wanted.select("d", "k").distinct()
-    texts = keyed.join(keys, keyed.doc_id.eqNullSafe(keys.d) & (keyed.text_key == keys.k)).dropDuplicates(["d", "k"])
-    texts = save(texts.select("d", "k", template(F.col("text")).alias("td"), values(F.col("text")).alias("vd")), "leaks-texts")
-    mine = items.join(wanted.select("i").distinct(), "i", "left_semi").select("i", "ti", F.posexplode(windows(F.col("ti"))).alias("q", "window"))
+    mine = items.join(pairs.select("i").distinct(), "i", "left_semi").select("i", "ti", F.posexplode(_windows_as_text(F.col("ti"))).alias("q", "window"))
     plain = F.size(F.filter(F.slice("ti", F.col("q") + 1, WIDTH), lambda x: ~x.isin(NUMBER, NAME, UNIT)))
-    theirs = texts.select("d", "k", F.posexplode(windows(F.col("td"))).alias("p", "window"))
+    p, t = pairs.select("d", "k").distinct().alias("p"), texts.alias("t")
+    theirs = p.join(t, F.expr("p.d <=> t.d AND p.k = t.k")).select("p.d", "p.k", F.posexplode(_windows_as_text(F.col("td"))).alias("p", "window"))
     met = theirs.join(mine.where(plain >= 2).select("i", "q", "window"), "window").select("d", "k", "i", "window", (F.col("p") - F.col("q")).alias("at"))
     places = met.distinct().groupBy("d", "k", "i", "at").agg(F.count("*").alias("n"))
-    w, p = wanted.alias("w"), places.alias("p")
-    found = w.join(p, F.expr("w.d <=> p.d AND w.k = p.k AND w.i = p.i")).where(F.col("p.n") >= share * F.col("w.of")).select("w.d", "w.k", "w.i", "p.at")
-    found = save(found, "leaks-places")
-    held = found.join(texts.withColumnsRenamed({"d": "d2", "k": "k2"}), F.col("d").eqNullSafe(F.col("d2")) & (F.col("k") == F.col("k2"))).join(items, "i")
+    w, p = pairs.alias("w"), places.alias("p")
+    found = save(w.join(p, F.expr("w.d <=> p.d AND w.k = p.k AND w.i = p.i")).where(F.col("p.n") >= share * F.col("w.of")).select("w.d", "w.k", "w.i", "p.at"), "leaks-places")
     slot = F.transform("vi", lambda v, q: F.struct(v.alias("mine"), F.when(F.get("td", F.col("at") + q) == F.get("ti", q), F.get("vd", F.col("at") + q)).alias("theirs")))
-    slots = held.select("d", "k", "i", "at", F.explode(slot).alias("z")).where("z.mine IS NOT NULL AND z.theirs IS NOT NULL")
-    each = slots.groupBy("d", "k", "i", "at", "z.mine").agg(F.count_distinct("z.theirs").alias("n"))
-    one = each.groupBy("d", "k", "i", "at").agg(F.count("*").alias("n_slots"), F.count_if(F.col("n") == 1).alias("n_steady")).where(F.col("n_steady") >= share * F.col("n_slots"))
+    slots = _met(found, texts, items).select("d", "k", "i", "at", F.explode(slot).alias("z")).where("z.mine IS NOT NULL AND z.theirs IS NOT NULL").select("d", "k", "i", "at", "z.mine", "z.theirs")
+    one = _steady(slots, "d", "k", "i", "at").where(F.col("n_steady") >= share * F.col("n_slots"))
     best = one.groupBy("d", "k", "i").agg(F.max(F.struct(F.col("n_steady"), -F.col("at"), F.col("n_slots"))).alias("b"))
     return best.select("d", "k", "i", F.col("b.n_slots").alias("n_slots"), F.col("b.n_steady").alias("n_steady"))
 
 
-def _placed(df: DataFrame, *keys: str) -> DataFrame:
-    """(keys, window, slots): each window that has placeholders, with their values in order."""
-    both = df.select(*keys, template(F.col("text")).alias("t"), values(F.col("text")).alias("v"))
-    each = both.where(F.exists("v", lambda x: x.isNotNull())).select(*keys, "v", F.posexplode(windows(F.col("t"))).alias("at", "window"))
-    slots = F.filter(F.slice("v", F.col("at") + 1, WIDTH), lambda x: x.isNotNull())
-    return each.select(*keys, "window", slots.alias("slots")).where(F.size("slots") > 0)
+def _placed(df: DataFrame, t: str, v: str, *keys: str) -> DataFrame:
+    """(keys, window, slots): each distinct window that has placeholders, with their values in order."""
+    each = df.where(F.exists(v, lambda x: x.isNotNull())).select(*keys, v, F.posexplode(_windows_as_text(F.col(t))).alias("at", "window"))
+    slots = F.filter(F.slice(v, F.col("at") + 1, WIDTH), lambda x: x.isNotNull())
+    return each.select(*keys, "window", slots.alias("slots")).where(F.size("slots") > 0).distinct()
 
 
-def _slots(docs: DataFrame, benchmark: DataFrame, pairs: DataFrame) -> DataFrame:
+def _slots(texts: DataFrame, items: DataFrame, pairs: DataFrame) -> DataFrame:
     """(d, k, i, n_slots, n_steady): the item's values that candidates' windows align, and those with one counterpart."""
-    items = _placed(benchmark, "item_id").distinct()
-    keys = pairs.select("doc_id", "text_key").distinct()
-    docs = _keyed(docs)
-    texts = docs.join(keys, docs.doc_id.eqNullSafe(keys.doc_id) & (docs.text_key == keys.text_key), "left_semi")
-    found = _placed(texts, "doc_id", "text_key").withColumnRenamed("slots", "theirs").distinct()
-    met = found.join(items, "window").join(pairs.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("item_id").alias("i")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")) & (F.col("item_id") == F.col("i")))
-    zipped = met.select("d", "k", "i", F.explode(F.arrays_zip("slots", "theirs")).alias("z")).select("d", "k", "i", F.col("z.slots").alias("mine"), F.col("z.theirs").alias("theirs")).distinct()
-    each = zipped.groupBy("d", "k", "i", "mine").agg(F.count("*").alias("n"))
-    return each.groupBy("d", "k", "i").agg(F.count("*").alias("n_slots"), F.count_if(F.col("n") == 1).alias("n_steady"))
+    mine = _placed(items, "ti", "vi", "i")
+    theirs = _placed(texts, "td", "vd", "d", "k").withColumnRenamed("slots", "other").alias("t")
+    wanted = pairs.select("d", "k", "i").join(mine, "i").alias("w")
+    met = wanted.join(theirs, F.expr("w.d <=> t.d AND w.k = t.k AND w.window = t.window")).select("w.d", "w.k", "w.i", F.explode(F.arrays_zip("slots", "other")).alias("z"))
+    return _steady(met.select("d", "k", "i", F.col("z.slots").alias("mine"), F.col("z.other").alias("theirs")), "d", "k", "i")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that leak no item, all columns; rows with null doc_id or text are judged like others."""
-    bad = save(contaminated(docs, benchmark).select("doc_id", "text_key").distinct(), "leaking")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["text_key"]), "left_anti")
+    """The rows of ``docs`` that leak no item, all columns; rows with null doc_id or text are judged like others, repeated ones alike."""
+    bad = save(contaminated(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct(), "leaking")
+    d, b = docs.alias("d"), bad.alias("b")
+    return d.join(b, F.col("d.doc_id").eqNullSafe(F.col("b._d")) & (F.xxhash64(F.col("d.text")) == F.col("b._k")), "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,19 @@
 """Language identification by Bayesian evidence fusion.
 
-Four kinds of evidence are multiplied: the text's likelihood under character n-gram models,
-the language that its markup declares, its address's suffix, and a prior for its host.
-Host priors are smoothed in steps (host, domain, all rows), from grouped counts of what the
-texts alone say; a row's own vote is left out of its host's and domain's counts.
+Multiplied are the text's likelihood under character n-gram models, the likelihood of the language that its markup
+declares, and a prior for its address.  Priors are smoothed in steps, all rows to the address's suffix to its domain to
+its host, from grouped counts of what the texts alone say; each count enters once, a host that is its own domain or
+suffix is no step of its own, and a row's own vote is left out of every step.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +25,8 @@ SAMPLE_ROWS = 4000
 INDEPENDENT = 60.0
 #: Weight of the wider level's prior, in rows.
 SMOOTH = 5.0
-_words = re.compile(r"[^\W\d_]+").findall
+#: Words are runs of letters, in training (by Spark) as in scoring.
+_words = regex.compile(r"\p{L}+").findall
 
 
 def word_grams(word: str) -> list[str]:
@@ -110,33 +111,38 @@ def text_of(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"(?s)<[^>]*>", " "), r"&[a-zA-Z]+;|&#\d+;", " ")
 
 
+#: The steps of the prior, from the widest.
+_LEVELS = ("suffix", "domain", "host")
+
+
 def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     """``rows``: id, text, declared, host (the last two may be null).  Returns id, lang, confidence, text_lang.
 
-    One row out for each row in, repeated ids too.  Without letters, the text says nothing and
-    the other evidence decides; without any evidence the commonest language is given.
+    One row out for each row in, repeated ids too; of equally likely languages the first by name.  Without letters, the text
+    says nothing and the other evidence decides; without any evidence the commonest language is given.  Null and empty
+    texts, hosts and declarations are no evidence, very long texts are read whole, other columns are not read.  No rows, no rows.
     """
     langs = model.languages
     k = len(langs)
-    suffix = F.regexp_extract(F.coalesce("host", F.lit("")), r"\.([a-z]+)$", 1)
-    domain = F.coalesce(F.nullif(F.regexp_extract(F.coalesce("host", F.lit("")), r"([^.]+\.[^.]+)$", 1), F.lit("")), "host")
-    scored = rows.select("id", "declared", "host", domain.alias("domain"), suffix.alias("suffix"), text_scores(model, F.col("text")).alias("s"))
+    name = F.nullif(F.coalesce("host", F.lit("")), F.lit(""))
+    part = lambda pattern: F.nullif(F.regexp_extract(F.coalesce(name, F.lit("")), pattern, 1), F.lit(""))
+    suffix, domain = part(r"\.([a-z]+)$"), part(r"([^.]+\.[^.]+)$")
+    scored = rows.select("id", "declared", suffix.alias("suffix"), domain.alias("domain"), F.when(~name.eqNullSafe(domain), name).alias("host"), text_scores(model, F.col("text")).alias("s"))
     scored = scored.withColumn("vote", F.array_position("s", F.array_max("s")).cast("int")).withColumn("heard", F.array_max("s") < 0)
     scored = save(scored, "lang-text")
     votes = [F.sum(F.when((F.col("vote") == i + 1) & F.col("heard"), 1.0).otherwise(0.0)) for i in range(k)]
     arr = lambda name: F.array(*votes).alias(name)
-    # One row for all rows, at most one a language declared, one a suffix: small by their meaning.
+    # One row for all rows.
     total = scored.agg(arr("all_n"), F.sum(F.when(F.col("declared").isin(langs) & F.col("heard"), 1.0).otherwise(0.0)).alias("said"), F.sum(F.when(F.col("declared").isin(langs) & F.col("heard") & (F.element_at(F.array(*map(F.lit, langs)), F.col("vote")) == F.col("declared")), 1.0).otherwise(0.0)).alias("agreed")).first()
     heard = [x or 0.0 for x in total.all_n]
     prior = [(x + 1.0) / (sum(heard) + k) for x in heard]
     trust = ((total.agreed or 0.0) + 9.0) / ((total.said or 0.0) + 10.0)
-    by_suffix = save(scored.where("suffix <> ''").groupBy("suffix").agg(arr("suffix_n")), "lang-suffix")
-    by_domain = scored.where("domain is not null").groupBy("domain").agg(arr("domain_n"))
-    hosts = scored.where("host is not null").groupBy("host", "domain").agg(arr("host_n"))
-    hosts = save(hosts.join(by_domain, "domain").select("host", "domain_n", "host_n"), "lang-hosts")
-    joined = scored.join(hosts, "host", "left").join(by_suffix, "suffix", "left")
+    joined = scored
+    for level in _LEVELS:
+        counts = save(scored.where(F.col(level).isNotNull()).groupBy(level).agg(arr(f"{level}_n")), f"lang-{level}")
+        joined = joined.join(counts, level, "left")
 
-    def level(counts: str, i: int, wider: Column) -> Column:
+    def step(counts: str, i: int, wider: Column) -> Column:
         own = F.when(F.col("heard") & (F.col("vote") == i + 1), 1.0).otherwise(0.0)
         any_own = F.when(F.col("heard"), 1.0).otherwise(0.0)
         n = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) - any_own
@@ -144,11 +150,11 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
 
     posts = []
     for i, lang in enumerate(langs):
-        host = level("host_n", i, level("domain_n", i, F.lit(prior[i])))
+        address = F.lit(prior[i])
+        for level in _LEVELS:
+            address = step(f"{level}_n", i, address)
         said = F.when(~F.col("declared").isin(langs) | F.col("declared").isNull(), 0.0).when(F.col("declared") == lang, math.log(trust)).otherwise(math.log((1 - trust) / max(1, k - 1)))
-        # The suffix's likelihood under the language, with the row's own vote left out.
-        ending = F.when(F.col("suffix_n").isNull(), 0.0).otherwise(F.log(level("suffix_n", i, F.lit(prior[i])) / prior[i]))
-        posts.append(F.get("s", F.lit(i)) + said + ending + F.log(host))
+        posts.append(F.get("s", F.lit(i)) + said + F.log(address))
     out = joined.select("id", "s", "vote", "heard", F.array(*posts).alias("p")).withColumn("best", F.array_max("p"))
     names = F.array(*map(F.lit, langs))
     mass = F.aggregate("p", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("best")))

@@ -1,25 +1,22 @@
 """Removal of byte strings that occur twice, by prefix doubling over sparse positions.
 
 A position's rank is the class of the bytes that start there.  Ranks of 1 byte are doubled
-within each text up to 100 bytes; then Spark takes over, at growing offsets, and drops the
-positions whose rank is unique.  Not all positions are ranked: of the 100-byte strings in a
-200-byte window the one of smallest hash is its anchor, so equal windows have equal anchors
-at equal places, and about every fiftieth position is one.
-
-1. Anchors are counted by rank.  Those of unique rank drop out with all their windows.
-2. The bytes under all windows of an anchor, its span, are ranked.  Of a span that occurs
-   twice, all windows do: settled.
-3. Where spans of one anchor rank differ, sections of the anchor's windows are ranked by the 187 or
-   188 bytes that each section's windows share; unique ones drop out.
-4. The windows that are left are ranked by all their 200 bytes.
-
-Between the steps, ranks that go on are handed to the tasks as a bit filter of bounded size.
-A false hit there only keeps a position for the next, exact count: results do not depend on it.
+within each text up to 100 bytes, pairs of ranks at growing offsets; then Spark ranks, and positions whose rank is unique
+drop out.  Not all positions are ranked: of the 100-byte strings in a 200-byte window the one of smallest hash
+is its anchor, so equal windows have equal anchors at equal places, and about every fiftieth position is one.
+
+1. The bytes under all windows of an anchor are its span.  Spark groups the pairs (rank of the anchor, rank of its span).
+   Of a span that occurs twice all windows do: settled.  An anchor whose rank is unique drops out with its windows.
+2. Where spans of one anchor rank differ, one text of each kind of span sends the span's bytes.  These are
+   sorted by anchor rank, and of each rank the 200-byte windows are ranked, by doubling again, and compared.
+   Anchor ranks with more than ``HELD`` kinds of spans are ranked window by window in Spark instead, so that
+   no task holds them together.
+
+Texts are numbered in a table that is written once.  Ranks are 128-bit hashes of the bytes, or of pairs of ranks.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -30,12 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bitfilter import bit_filter, hit, hits
+from tessera.llm.bitfilter import bit_filter, hit
 from tessera.llm.common import drop, save, table
 
 WINDOW, GRAM = 200, 100
 SPREAD = WINDOW - GRAM  # the places that an anchor can have in its window: 0 .. SPREAD
-SECTIONS = 8
+#: Most kinds of spans of an anchor rank that one task compares.
+HELD = 5_000
 _A = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD))
 _B = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
@@ -84,174 +82,162 @@ def anchors(gram: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return at[first], first, np.concatenate([first[1:], [n - WINDOW + 1]]) - 1
 
 
-def section_of(k: int) -> tuple[int, int]:
-    """The places x of section k: windows that start x bytes before their anchor."""
-    return -(-k * (SPREAD + 1) // SECTIONS), -(-(k + 1) * (SPREAD + 1) // SECTIONS) - 1
-
-
 class Repeats:
-    """The steps over one table of texts.  ``docs`` is read once a step; its rows are numbered in the
-    scan, alike each time, since a table's files are split alike."""
+    """The steps over one table of texts."""
 
     def __init__(self, docs: DataFrame) -> None:
-        self.docs = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-        self.spark = docs.sparkSession
+        self.docs = save(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "numbered")
 
-    def _scan(self, step, schema: str) -> DataFrame:
-        """``step(rid, data, ranks, anchor, first, last)`` gives arrays, one a column, for each long enough text."""
-        fields = self.spark.createDataFrame([], schema).schema
+    def spans(self) -> DataFrame:
+        """(rid, h, s, t, first, last) of each anchor: its rank, its span's rank (with the anchor's place in it), its windows."""
+        names = ["rid", "h", "s", "t", "first", "last"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark.sql.pandas.types import to_arrow_schema
-
-            arrow = to_arrow_schema(fields)
-            held: list[list[np.ndarray]] = []
-            size = 0
-
-            def flush() -> pa.RecordBatch:
-                cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-                return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c, t.type) for c, t in zip(cols, arrow, strict=True)], schema=arrow)
-
             for batch in batches:
-                for rid, text in zip(batch.column(0), batch.column(1), strict=True):
+                held: list[list[np.ndarray]] = []
+                for rid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                     if len(data) < WINDOW:
                         continue
-                    ranks = Ranks(data)
-                    gram = ranks.at(None, GRAM)
-                    out = step(rid.as_py(), data, ranks, gram, *anchors(gram, len(data)))
-                    if len(out[0]):
-                        held.append(out)
-                        size += len(out[0])
-                    if size >= 50_000:
-                        yield flush()
-                        held, size = [], 0
-            if held:
-                yield flush()
-
-        return self.docs.select("rid", "text").mapInArrow(run, schema)
-
-    def _keep(self, df: DataFrame, tag: str) -> DataFrame:
-        """Write a step's table; what its shuffles left on disk can go."""
-        out = save(df, tag)
-        gc.collect()
-        self.spark._jvm.java.lang.System.gc()
+                    gram = Ranks(data).at(None, GRAM)
+                    a, first, last = anchors(gram, len(data))
+                    d = b"".join(xxhash.xxh3_128_digest(data[x : y + WINDOW]) for x, y in zip(first.tolist(), last.tolist(), strict=True))
+                    s = np.frombuffer(d, "<i8").reshape(-1, 2)
+                    held.append([np.full(len(a), rid), gram[a].view(np.int64), s[:, 0], s[:, 1] ^ (a - first), first.astype(np.int32), last.astype(np.int32)])
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
+
+        return self.docs.select("rid", "text").mapInArrow(run, "rid long, h long, s long, t long, first int, last int")
+
+    def find(self) -> DataFrame:
+        """(rid, first, last): runs of starts of windows that occur twice."""
+        # 1
+        found = save(self.spans(), "spans")
+        kinds = save(found.groupBy("h", "s", "t").agg(F.count("*").alias("n"), F.min(F.struct("rid", "first", "last")).alias("one")), "span-kinds")
+        settled = save(found.join(kinds.where("n > 1").select("s", "t").distinct().hint("merge"), ["s", "t"]).select("rid", "first", "last"), "settled")
+        drop(found)
+        # 2
+        open_ = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
+        wanted = kinds.join(open_.hint("merge"), "h").select("one.rid", "h", "one.first", "one.last", (F.col("n") == 1).alias("single"), (F.col("kinds") > HELD).alias("hot"))
+        bytes_ = save(self._bytes(wanted), "span-bytes")
+        drop(kinds)
+        light = bytes_.where("NOT hot").repartition("h").sortWithinPartitions("h").mapInArrow(_compare, "rid long, first int, last int")
+        out = settled.union(light)
+        hot = bytes_.where("hot")
+        if not hot.isEmpty():
+            each = save(hot.mapInArrow(_each, "s long, t long, single boolean, rid long, place int"), "windows")
+            again = each.groupBy("s", "t").agg(F.count("*").alias("n")).where("n > 1").select("s", "t")
+            out = out.union(each.where("single").join(again.hint("merge"), ["s", "t"]).select("rid", F.col("place").alias("first"), F.col("place").alias("last")))
         return out
 
-    def find(self) -> tuple[DataFrame, DataFrame]:
-        """(rid, first, last): settled runs of window starts; (rid, place): single repeated windows."""
-        share = self.spark.sparkContext.broadcast
-        # 1
-        counted = self._scan(lambda rid, data, ranks, gram, a, f, l: list(np.unique(gram[a], return_counts=True)), "h long, c long")
-        grams = self._keep(counted.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1"), "grams")
-        one = share(bit_filter(grams, "h"))
+    def _bytes(self, wanted: DataFrame) -> DataFrame:
+        """(h, hot, single, rid, first, w): the spans' bytes, cut where their texts are."""
+        of_text = wanted.groupBy("rid").agg(F.collect_list(F.struct("h", "hot", "single", "first", "last")).alias("own"))
+        names = ["h", "hot", "single", "rid", "first", "w"]
 
-        # 2
-        def digests(data, k, a, f, l):
-            """Spans are alike if their bytes are and the anchor has the same place in them."""
-            d = b"".join(xxhash.xxh3_128_digest(data[x : y + WINDOW]) for x, y in zip(f[k].tolist(), l[k].tolist(), strict=True))
-            s = np.frombuffer(d, "<i8").reshape(-1, 2)
-            return s[:, 0].copy(), s[:, 1] ^ (a[k] - f[k])
-
-        def spans(rid, data, ranks, gram, a, f, l):
-            k = np.nonzero(hits(one.value, gram[a]))[0]
-            return [np.full(len(k), rid), gram[a[k]], *digests(data, k, a, f, l), f[k].astype(np.int32), l[k].astype(np.int32)]
-
-        found = self._keep(self._scan(spans, "rid long, h long, s long, t long, first int, last int"), "spans")
-        kinds = self._keep(found.groupBy("h", "s", "t").agg(F.count("*").alias("n"), F.min("rid").alias("rid")), "span-ranks")
-        twice = self._keep(kinds.where("n > 1").select("s", "t").distinct(), "span-twice")
-        settled = self._keep(found.join(twice.hint("merge"), ["s", "t"]).select("rid", "first", "last"), "settled")
-        drop(found)
-        open_ = self._keep(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("h"), "open")
-        two = share(bit_filter(open_, "h"))
-        # Of each span, one text speaks for all: its windows are ranked for those that differ from it.
-        speakers = kinds.join(open_, "h").select(F.col("s").bitwiseXOR(F.col("t")).bitwiseXOR(F.col("rid")).bitwiseXOR(F.shiftleft("rid", 21)).alias("key"))
-        speak = share(bit_filter(self._keep(speakers, "speakers"), "key"))
-        sections = [section_of(k) for k in range(SECTIONS)]
-
-        def candidates(rid, data, gram, a, f, l):
-            k = np.nonzero(hits(one.value, gram[a]) & hits(two.value, gram[a]))[0]
-            s, t = digests(data, k, a, f, l)
-            own = np.int64(rid)
-            return k[hits(speak.value, s ^ t ^ own ^ (own << np.int64(21)))]
-
-        def shared(ranks, n, at, first, last, k):
-            """Of the anchors, those with windows in section k, and the ranks of what these windows share."""
-            x, y = sections[k]
-            start, stop = at - x, at - y + WINDOW
-            own = np.nonzero((np.maximum(first, at - y) <= np.minimum(last, at - x)) & (start >= 0) & (stop <= n))[0]
-            return own, ranks.at(start[own], WINDOW - y + x) + np.uint64(k)
-
-        # 3
-        def parts(rid, data, ranks, gram, a, f, l):
-            c = candidates(rid, data, gram, a, f, l)
-            each = [shared(ranks, len(data), a[c], f[c], l[c], k)[1] for k in range(SECTIONS)]
-            return list(np.unique(np.concatenate(each), return_counts=True))
-
-        ranked = self._scan(parts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
-        three = share(bit_filter(self._keep(ranked, "sections"), "h"))
-
-        # 4
-        def windows(rid, data, ranks, gram, a, f, l):
-            c = candidates(rid, data, gram, a, f, l)
-            a, f, l = a[c], f[c], l[c]
-            places = [np.empty(0, np.int64)]
-            for k, (x, y) in enumerate(sections):
-                own, r = shared(ranks, len(data), a, f, l, k)
-                own = own[hits(three.value, r)] if len(own) else own
-                lo, hi = np.maximum(f[own], a[own] - y), np.minimum(l[own], a[own] - x)
-                n = hi - lo + 1
-                places.append(np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-            p = np.concatenate(places)
-            if not len(p):
-                return [p] * 4
-            return [ranks.at(p, WINDOW), Ranks(data, _B).at(p, WINDOW), np.full(len(p), rid), p.astype(np.int32)]
-
-        left = self._scan(windows, "s long, t long, rid long, place int")
-        again = self._keep(left.groupBy("s", "t").agg(F.count("*").alias("n")).where("n > 1").select("s", "t"), "windows")
-        # Windows without a like one stay where they are.
-        four = bit_filter(again, "s")
-        single = self._keep(left.where(hit(four, F.col("s"))).join(again.hint("merge"), ["s", "t"]).select("rid", "place"), "single")
-        return settled, single
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for s in range(0, batch.num_rows, 500):
+                    part = batch.slice(s, 500)
+                    own = part.column(2).flatten()
+                    n = np.diff(part.column(2).offsets.to_numpy())
+                    first, last = (own.field(c).to_numpy() for c in ("first", "last"))
+                    at, w = 0, []
+                    for k, text in zip(n.tolist(), part.column(1), strict=True):
+                        data = text.as_py().encode("utf-8", "surrogatepass")
+                        w += [data[x : y + WINDOW] for x, y in zip(first[at : at + k].tolist(), last[at : at + k].tolist(), strict=True)]
+                        at += k
+                    rid = np.repeat(part.column(0).to_numpy(), n)
+                    yield pa.RecordBatch.from_arrays([own.field("h"), own.field("hot"), own.field("single"), pa.array(rid), own.field("first"), pa.array(w, pa.binary())], names)
+
+        return self.docs.select("rid", "text").join(of_text.hint("merge"), "rid").mapInArrow(run, "h long, hot boolean, single boolean, rid long, first int, w binary")
+
+
+def _windows(w: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(span, place in the span, and the two halves of the rank) of each window of some spans."""
+    size = np.array([len(x) for x in w], np.int64)
+    n = size - WINDOW + 1
+    data = b"".join(w)
+    own = np.repeat(np.arange(len(w)), n)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = place + np.repeat(np.cumsum(size) - size, n)
+    return own, place, Ranks(data, _A).at(at, WINDOW), Ranks(data, _B).at(at, WINDOW)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (s, t, single, rid, place) for each window of each span."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 2000):
+            part = batch.slice(k, 2000)
+            own, place, s, t = _windows(part.column(5).to_pylist())
+            single, rid, first = (part.column(c).to_numpy(zero_copy_only=False)[own] for c in (2, 3, 4))
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(t.view(np.int64)), pa.array(single), pa.array(rid), pa.array((first + place).astype(np.int32))], ["s", "t", "single", "rid", "place"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, first, last): of spans sorted by anchor rank, the runs of windows that another span has too."""
+    rest: list[pa.RecordBatch] = []
+
+    def out(rows: pa.RecordBatch) -> pa.RecordBatch:
+        own, place, s, t = _windows(rows.column(5).to_pylist())
+        order = np.argsort(s)
+        if ((s[order][1:] == s[order][:-1]) & (t[order][1:] != t[order][:-1])).any():
+            order = np.lexsort((t, s))
+        same = (s[order][1:] == s[order][:-1]) & (t[order][1:] == t[order][:-1])
+        twice = np.zeros(len(own), bool)
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        single, rid, first = (rows.column(c).to_numpy(zero_copy_only=False) for c in (2, 3, 4))
+        k = np.nonzero(twice & single[own])[0]
+        starts = np.concatenate([[True], (own[k][1:] != own[k][:-1]) | (place[k][1:] != place[k][:-1] + 1)])[: len(k)]
+        ends = np.concatenate([starts[1:], [True]])[: len(k)]
+        lo, hi = k[starts], k[ends]
+        return pa.RecordBatch.from_arrays([pa.array(rid[own[lo]]), pa.array((first[own[lo]] + place[lo]).astype(np.int32)), pa.array((first[own[hi]] + place[hi]).astype(np.int32))], ["rid", "first", "last"])
+
+    for batch in batches:
+        for k in range(0, batch.num_rows, 2000):
+            part = batch.slice(k, 2000)
+            h = part.column(0).to_numpy()
+            if rest and rest[-1].column(0)[-1].as_py() == h[-1]:
+                rest.append(part)
+                continue
+            last = int(np.nonzero(h != h[-1])[0][-1]) + 1 if h[0] != h[-1] else 0  # the last rank may go on
+            if rest or last:
+                yield out(pa.Table.from_batches([*rest, part.slice(0, last)]).combine_chunks().to_batches()[0])
+            rest = [part.slice(last)]
+    if rest:
+        yield out(pa.Table.from_batches(rest).combine_chunks().to_batches()[0])
 
 
 def remove(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256.
 
     Every byte goes that is covered by a 200-byte string which starts anywhere else too.
-    Texts are their UTF-8 bytes; null and shorter ones lose nothing.  Repeated rows are each
-    other's copies, and lose all.  ``docs`` is a table read from files.
+    Texts are their UTF-8 bytes, of any length; null and shorter ones lose nothing.  Repeated rows are each
+    other's copies, and lose all.  Other columns are not read, whatever their names.  No rows, no rows.
     """
     r = Repeats(docs)
-    settled, single = r.find()
-    runs = settled.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    places = single.groupBy("rid").agg(F.collect_list("place").alias("places"))
-    marks = r._keep(runs.join(places, "rid", "full"), "marks")
+    marks = save(r.find().groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "marks")
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, firsts, places in batches:
-            rows = [cut_text(t, [] if u is None else [(x["first"], x["last"]) for x in u], p) for t, u, p in zip(texts, firsts, places, strict=True)]
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, runs in batches:
+            rows = [cut_text(t, [] if u is None else [(x["first"], x["last"]) for x in u]) for t, u in zip(texts, runs, strict=True)]
             yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     # Texts without marks do not move.
     marked = hit(bit_filter(marks, "rid"), F.col("rid"))
-    none = [F.lit(None).cast(marks.schema[c].dataType).alias(c) for c in ("runs", "places")]
-    both = r.docs.where(marked).join(marks.hint("merge"), "rid", "left").select("doc_id", "text", "runs", "places").union(r.docs.where(~marked).select("doc_id", "text", *none))
-    return both.select("doc_id", cut(F.col("text"), F.col("runs"), F.col("places")).alias("r")).select("doc_id", "r.*")
+    both = r.docs.where(marked).join(marks.hint("merge"), "rid", "left").select("doc_id", "text", "runs").union(r.docs.where(~marked).select("doc_id", "text", F.lit(None).cast(marks.schema["runs"].dataType)))
+    return both.select("doc_id", cut(F.col("text"), F.col("runs")).alias("r")).select("doc_id", "r.*")
 
 
-def cut_text(text: str | None, runs: list[tuple[int, int]], places) -> tuple[int, int, int, bytes, str]:
+def cut_text(text: str | None, runs: list[tuple[int, int]]) -> tuple[int, int, int, bytes, str]:
     data = (text or "").encode("utf-8", "surrogatepass")
     n = len(data)
     step = np.zeros(n + 1, np.int64)
     for first, last in runs:
         step[first] += 1
         step[last + WINDOW] -= 1
-    if places is not None and len(places):
-        p = np.asarray(places, np.int64)
-        np.add.at(step, p, 1)
-        np.add.at(step, p + WINDOW, -1)
     gone = np.cumsum(step)[:n] > 0
     spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
     kept = np.frombuffer(data, np.uint8)[~gone].tobytes()

@@ -67,29 +67,44 @@ def bag(text: str | None) -> Counter[str]:
     return Counter(_words((text or "").lower()))
 
 
-def train(bags: list[Counter[str]], labels: np.ndarray, dim: int = 4, least_docs: int = 16, epochs: int = 12, rate: float = 1.0, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Fit vectors and weights by minibatch Adam on the cross entropy, from texts' words.  n-grams whose words are
-    in fewer than ``least_docs`` texts, added up, keep zero vectors.  Without both labels the score is the labels' mean."""
-    if len(bags) == 0 or len(set(labels.tolist())) < 2:
-        mean = float(labels.mean()) if len(bags) else 0.0
+def train(texts: list[str], labels: np.ndarray, **settings) -> Model:
+    """Fit a model to texts and their labels."""
+    at: dict[str, int] = {}
+    docs = []
+    for words in map(bag, texts):
+        docs.append((np.array([at.setdefault(w, len(at)) for w in words], np.int64), np.array(list(words.values()), np.int64)))
+    return train_bags(list(at), docs, labels, **settings)
+
+
+def train_bags(words: list[str], docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = 4, least_docs: int = 16, epochs: int = 12, rate: float = 1.0, decay: float = 1e-4, seed: int = 7) -> Model:
+    """Fit vectors and weights by minibatch Adam on the cross entropy.  A text is the numbers of its distinct ``words``
+    and how often each occurs.  n-grams whose words are in fewer than ``least_docs`` texts, added up, keep zero
+    vectors.  Without both labels the score is the labels' mean."""
+    if len(docs) == 0 or len(set(labels.tolist())) < 2:
+        mean = float(labels.mean()) if len(docs) else 0.0
         return Model({}, float(np.log((mean + 1e-3) / (1 - mean + 1e-3))))
-    docs_of: Counter[str] = Counter()
-    for words in bags:
-        docs_of.update(words.keys())
+    docs_of = np.zeros(len(words), np.int64)
+    for ids, _ in docs:
+        docs_of[ids] += 1
     seen: Counter[str] = Counter()
-    for w, n in docs_of.items():
+    for w, n in zip(words, docs_of.tolist(), strict=True):
         for g in word_grams(w):
             seen[g] += n
     names = sorted(g for g, n in seen.items() if n >= least_docs)
     del seen
     at = {g: i for i, g in enumerate(names)}
-    of_word = {w: (np.array([at[g] for g in gs if g in at], np.int32), len(gs)) for w in docs_of for gs in [word_grams(w)]}
+    of_word, size = [], np.zeros(len(words), np.int64)
+    for k, w in enumerate(words):
+        gs = word_grams(w)
+        size[k] = len(gs)
+        of_word.append(np.array([at[g] for g in gs if g in at], np.int32))
+    del at
     rows = []
-    for words in bags:
-        cols = [np.repeat(of_word[w][0], n) for w, n in words.items()]
+    for ids, times in docs:
+        cols = [np.repeat(of_word[w], n) for w, n in zip(ids.tolist(), times.tolist(), strict=True)]
         c, k = np.unique(np.concatenate(cols), return_counts=True) if cols else (np.empty(0, np.int32), np.empty(0))
-        rows.append((c, (k / (PAD + sum(n * of_word[w][1] for w, n in words.items()))).astype(np.float32)))
-    del bags, of_word, docs_of, at
+        rows.append((c, (k / (PAD + int((times * size[ids]).sum()))).astype(np.float32)))
+    del of_word, docs
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (dim, len(names))).astype(np.float32)
     w = rng.normal(0, 1, (dim, 2)).astype(np.float32)
@@ -126,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
     The sample is the labels of smallest hashed doc_id.  Executors count its texts' words, so that a row that
     reaches the driver has each word once.  Only text and label are learned from.  Of a doc_id's repeated labels the
-    larger counts; null texts have no words.  Without labelled rows every text gets the same score.
+    larger counts, of its repeated texts the one of smallest hash; null texts have no words.  Without labelled rows every text gets the same score.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -139,9 +154,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     # The sample is at most ``rows`` pairs of numbers, which bounds the broadcast.
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
     counted = texts.mapInArrow(count, "doc_id long, toxic long, words array<string>, times array<int>")
-    got = counted.orderBy(F.xxhash64("doc_id"), "doc_id", F.hash("words", "times")).limit(rows).select("toxic", "words", "times").toPandas()
-    bags = [Counter(dict(zip(w, map(int, n), strict=True))) for w, n in zip(got["words"], got["times"], strict=True)]
-    return train(bags, got["toxic"].to_numpy(np.int64))
+    once = counted.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "words", "times"), F.hash("words", "times")).alias("r"))
+    got = once.select("doc_id", "r.*").toArrow().sort_by("doc_id").combine_chunks()
+    if not got.num_rows:
+        return train_bags([], [], np.empty(0, np.int64))
+    lists = got.column("words").chunk(0)
+    coded = lists.flatten().dictionary_encode()  # words as numbers: no word is held once a text
+    cut = np.cumsum(lists.value_lengths().to_numpy())[:-1]
+    ids, times = (np.split(x.to_numpy().astype(np.int64), cut) for x in (coded.indices, got.column("times").chunk(0).flatten()))
+    labels_of, names = got.column("toxic").to_numpy(), coded.dictionary.to_pylist()
+    del got, lists, coded
+    return train_bags(names, list(zip(ids, times, strict=True)), labels_of)
 
 
 def score(model: Model, text: Column) -> Column:
