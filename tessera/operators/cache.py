@@ -27,13 +27,13 @@ def exact_tier(queries: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def semantic_tier(queries: DataFrame, entries: DataFrame, threshold: float = DEFAULTS.cache_similarity, window: int = DEFAULTS.cache_window) -> DataFrame:
-    """(query_id, entry_id, similarity, hit): the best of the ``window`` latest entries, the later of equals.
+    """(query_id, entry_id, similarity, hit): the best of the ``window`` latest entries, the later of equals, of those the larger id.
 
     ``entries``: entry_id, embedding, recency (larger is later), live ones only.  The window bounds the broadcast.
     """
     recent = entries.select("entry_id", F.col("embedding").alias("e"), "recency").orderBy(F.col("recency").desc(), "entry_id").limit(window)
     pairs = queries.select("query_id", "embedding").crossJoin(F.broadcast(recent)).select("query_id", "entry_id", "recency", exact_round(cosine(F.col("embedding"), F.col("e")), 6).alias("similarity"))
-    best = pairs.groupBy("query_id").agg(F.max(F.struct("similarity", "recency", (-F.col("entry_id")).alias("n"), "entry_id")).alias("b"))
+    best = pairs.groupBy("query_id").agg(F.max(F.struct("similarity", "recency", "entry_id")).alias("b"))
     return best.select("query_id", "b.entry_id", "b.similarity", (F.col("b.similarity") >= threshold).alias("hit"))
 
 

@@ -19,6 +19,13 @@ def admission(path: Column, length: Column, mime: Column | None = None, max_mb:
     return out.otherwise("ok")
 
 
+def sniffed(content: Column) -> Column:
+    """The type that a file's first bytes tell: PDF by its mark, text if the first kilobyte has no zero byte, else unknown."""
+    head = F.hex(F.substring(content, 1, 1024))
+    zero = F.exists(F.transform(F.sequence(F.lit(0), F.greatest(F.length(head) / 2 - 1, F.lit(0)).cast("int")), lambda i: F.substring(head, 2 * i + 1, F.lit(2))), lambda b: b == "00")
+    return F.when(head.startswith("25504446"), "application/pdf").when(~zero, "text/plain").otherwise("application/x-unknown")
+
+
 def clean_pages(pages: DataFrame) -> DataFrame:
     """``pages`` (doc, page_num, text) without repeated first and last lines and without empty pages.
 
@@ -71,16 +78,31 @@ def previews(chunks_: DataFrame) -> DataFrame:
     return chunks_.select("chunk_id", preview(F.col("content")).alias("preview"))
 
 
-def context_block(ranked: DataFrame) -> DataFrame:
-    """One text a question from (query_id, rank, content, source, score): numbered passages in rank order."""
-    one = F.format_string("[Doc %d] (relevance: %.2f)\n%s\nSource: %s", F.col("rank").cast("int"), "score", "content", "source")
+def first_previews(chunks_: DataFrame, n: int = 5) -> DataFrame:
+    """The previews of each source's first ``n`` chunks, as an upload reports them."""
+    return chunks_.where(F.col("chunk_index") < n).select("source", "chunk_index", "chunk_id", preview(F.col("content")).alias("preview"))
+
+
+#: What stands for the context of a question without passages.
+NO_CONTEXT = "No context available."
+
+
+def _block(ranked: DataFrame, one: Column, questions: DataFrame | None) -> DataFrame:
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", one.alias("t")))), lambda x: x["t"]), "\n\n---\n\n")
-    return ranked.groupBy("query_id").agg(joined.alias("context"))
+    blocks = ranked.groupBy("query_id").agg(joined.alias("context"))
+    return blocks if questions is None else questions.select("query_id").join(blocks, "query_id", "left").fillna({"context": NO_CONTEXT})
 
 
-def web_block(ranked: DataFrame) -> DataFrame:
-    one = F.format_string("[Web %d] (score: %.2f) %s\n%s\nSource: %s", F.col("rank").cast("int"), "score", "title", "content", "url")
-    return ranked.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", one.alias("t")))), lambda x: x["t"]), "\n\n---\n\n").alias("context"))
+def context_block(ranked: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """One text a question from (query_id, rank, content, source, score): numbered passages in rank order.
+
+    Of ``questions``, if given, each has a row, those without passages a fixed text."""
+    return _block(ranked, F.format_string("[Doc %d] (relevance: %.2f)\n%s\nSource: %s", F.col("rank").cast("int"), "score", "content", "source"), questions)
+
+
+def web_block(ranked: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """As ``context_block``, from (query_id, rank, title, content, url, score)."""
+    return _block(ranked, F.format_string("[Web %d] (score: %.2f) %s\n%s\nSource: %s", F.col("rank").cast("int"), "score", "title", "content", "url"), questions)
 
 
 def failure_summary(chunks_: Column, answer: Column) -> Column:
@@ -105,3 +127,17 @@ def dual_index(chunks_: DataFrame, corpus: DataFrame, vectors: DataFrame, embed)
     count = lambda df, name: df.agg(F.count("*").alias(name))
     status = count(chunks_, "chunk_count").crossJoin(count(words, "bm25_inserted")).crossJoin(count(embedded, "vectors_inserted"))  # one row each
     return words, embedded, status
+
+
+def index_both(chunks_: DataFrame, words, vectors) -> dict[str, object]:
+    """Run both writers, ``words(chunks)`` and ``vectors(chunks)``, each of which returns how many rows it took.
+
+    One that fails is reported and does not hold up the other."""
+    out: dict[str, object] = {"chunk_count": chunks_.count(), "errors": []}
+    for name, write in (("bm25_inserted", words), ("vectors_inserted", vectors)):
+        try:
+            out[name] = write(chunks_)
+        except Exception as e:  # noqa: BLE001 - whatever a store raises concerns that store only
+            out[name] = 0
+            out["errors"].append(f"{name}: {type(e).__name__}")
+    return out

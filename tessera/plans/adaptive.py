@@ -8,21 +8,24 @@ written to the shared folder, so that lineage stays short and lost executors cos
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import DEFAULTS, Settings
 from tessera.functions.scalar import cache_key
+from tessera.operators import cache as c
 from tessera.operators import quality as q
 from tessera.operators.bm25 import Bm25Index
-from tessera.operators.cache import exact_tier, live
 from tessera.operators.fusion import rerank, rrf, union_first
 from tessera.operators.vector import batch_top_k
+from tessera.plans.subqueries import run_sub_queries
+from tessera.schemas import CACHE
 from tessera.sources.files import web_search
+from tessera.sources.providers import Embedder, HashEmbedder, Offline, Provider, embed_distinct
 from tessera.storage import keep
-from tessera.sources.providers import Embedder, HashEmbedder, Offline, embed_distinct
 
 
 @dataclass
@@ -32,7 +35,7 @@ class Engine:
     corpus: DataFrame
     settings: Settings = DEFAULTS
     embedder: Embedder = field(default_factory=HashEmbedder)
-    provider: Offline = field(default_factory=Offline)
+    provider: Provider = field(default_factory=Offline)
     cache: DataFrame | None = None
     web_pages: DataFrame | None = None
 
@@ -50,18 +53,23 @@ class Engine:
         fused = rrf(words, near, s.rrf_k)
         return fused.select("query_id", "chunk_id", "rank")
 
-    def decompose(self, asked: DataFrame, sub_queries: DataFrame) -> DataFrame:
-        """(query_id, chunk_id, rank) from sub-queries (query_id, sub_idx, query): each takes its best
-        ``sub_query_k``, and of the lists laid end to end every chunk stays once, where it came first."""
-        s = self.settings
-        guard = asked.where("is_multi_hop and attempts = 0").select("query_id")
-        many = sub_queries.groupBy("query_id").agg(F.count("*").alias("n")).where("n >= 2").join(guard, "query_id", "left_semi")
-        own = sub_queries.join(many, "query_id").withColumn("sub", F.concat_ws("/", "query_id", "sub_idx"))
-        best = self.index.top_k(own.select(F.col("sub").alias("query_id"), "query"), s.sub_query_k)
-        listed = own.select("query_id", "sub_idx", "sub").join(best.withColumnRenamed("query_id", "sub"), "sub")
-        w = Window.partitionBy("query_id", "chunk_id").orderBy("sub_idx", "rank")
-        once = listed.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-        return once.select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy("sub_idx", "rank")).alias("rank"))
+    def _decompose(self, asked: DataFrame) -> DataFrame | None:
+        """Scored answers of the multi-hop questions among ``asked``, put together from their sub-queries' answers; None without any."""
+        subs = self.provider.sub_queries(F.col("query"))
+        many = asked.where(q.should_decompose(F.col("is_multi_hop"), subs, F.col("attempts"))).withColumn("sub_query", subs)
+        each = keep(many.select("query_id", "strategy", F.posexplode("sub_query").alias("sub_idx", "sub_query")), "sub-queries")
+        if each.isEmpty():
+            return None
+        runs = keep(run_sub_queries(self.index, self.vectors, self.corpus, each, self.embedder, self.provider, self.settings), "sub-runs")
+        part = F.concat(F.lit("Q"), (F.col("sub_idx") + 1).cast("string"), F.lit(": "), "sub_query", F.lit("\nA"), (F.col("sub_idx") + 1).cast("string"), F.lit(": "), "answer")
+        joined = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sub_idx", x.alias("t")))), lambda y: y["t"]), "\n\n")
+        whole = runs.groupBy("query_id").agg(joined(part).alias("parts"), joined(F.col("answer")).alias("plain"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("sub_idx", "chunks_used"))), lambda y: y["chunks_used"])).alias("used"))
+        # Of all sub-queries' passages each stays once, where it came first.
+        place = F.transform("used", lambda x, k: F.struct(x["chunk_id"].alias("id"), x["content"].alias("content"), k.alias("k")))
+        once = F.filter(place, lambda x: F.array_position(F.transform("used", lambda y: y["chunk_id"]), x["id"]) == x["k"] + 1)
+        out = many.drop("sub_query").join(whole, "query_id").withColumn("once", once)
+        out = out.withColumns({"best": self.provider.synthesise(F.col("query"), F.col("parts"), F.col("plain")), "context": F.array_join(F.transform("once", lambda x: x["content"]), "\n\n---\n\n"), "n_chunks": F.size("once").cast("bigint"), "decomposed": F.lit(True)})
+        return keep(self._score(out.drop("parts", "plain", "used", "once"), F.col("best")), "decomposed")
 
     def _answer(self, asked: DataFrame) -> DataFrame:
         s, p = self.settings, self.provider
@@ -70,64 +78,105 @@ class Engine:
         best = top.groupBy("query_id").agg(F.min_by("content", "post_rerank_position").alias("best"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("post_rerank_position", "content"))), lambda x: x["content"]), "\n\n---\n\n").alias("context"), F.count("*").alias("n_chunks"))
         return self._score(asked.join(best, "query_id", "left"))
 
-    def _score(self, answered: DataFrame) -> DataFrame:
+    def _score(self, answered: DataFrame, answer: Column | None = None) -> DataFrame:
         p, s = self.provider, self.settings
-        out = answered.withColumn("answer", p.answer(F.col("active_query"), F.col("best")))
+        out = answered.withColumn("answer", p.answer(F.col("active_query"), F.col("best")) if answer is None else answer)
         f, r, g = p.scores(F.col("active_query"), F.col("answer"), F.coalesce("context", F.lit("")))
         out = out.withColumns({"faithfulness": f, "answer_relevancy": r, "context_groundedness": g, "n_chunks": F.coalesce("n_chunks", F.lit(0))})
         f, r, g = F.col("faithfulness"), F.col("answer_relevancy"), F.col("context_groundedness")
         return out.withColumns({"composite_score": q.composite(f, r, g), "passed": ~q.below_threshold(f, r, g, s)}).drop("best", "context")
 
     def ask(self, questions: DataFrame) -> DataFrame:
-        """One row a question (query_id, query): answer, strategy, scores, band, corrections, flags."""
+        """One row a question (query_id, query): answer, strategy, scores, band, corrections, flags.
+
+        Passed answers that did not come from the cache are written to it, so ``self.cache`` grows.
+        """
+        for _, table in self.ask_iter(questions):
+            out = table
+        return out
+
+    def ask_iter(self, questions: DataFrame) -> Iterator[tuple[str, DataFrame]]:
+        """(node, table) for a caller that shows progress, an event a node that ran; the last is ``done`` with the answers."""
         s, p = self.settings, self.provider
         kind = p.classify(F.col("query"))
-        start = questions.select("query_id", "query").withColumns({"active_query": F.col("query"), "query_type": kind, "strategy": q.strategy_of(kind), "is_multi_hop": kind == "multi_hop", "attempts": F.lit(0), "web_used": F.lit(False)})
+        start = questions.select("query_id", "query").withColumns({"active_query": F.col("query"), "query_type": kind, "strategy": q.strategy_of(kind), "is_multi_hop": kind == "multi_hop", "attempts": F.lit(0), "web_used": F.lit(False), "decomposed": F.lit(False)})
+        start = keep(start, "classified")
+        yield "classify_query", start
         done = []
         if self.cache is not None:
-            looked = keep(exact_tier(start, live(self.cache.select("cache_key", "answer", "faithfulness", "answer_relevancy", "context_groundedness", "composite_score", "expires_at"), F.current_timestamp())))
-            hits = looked.where("hit").withColumns({"passed": F.lit(True), "cached": F.lit(True), "n_chunks": F.lit(0).cast("bigint")})
+            hits, start = self._from_cache(start)
             done.append(hits)
-            start = looked.where("not hit").select(*start.columns)
-        now = start
+            yield "check_cache", hits
+        split = self._decompose(start)
+        now = start if split is None else keep(start.join(split.select("query_id"), "query_id", "left_anti"), "whole")
+        if split is not None:
+            yield "decompose_query", split
         for turn in range(s.max_corrections + 1):
-            scored = keep(self._answer(now))
+            scored = keep(self._answer(now), "scored")
+            yield "retrieve_and_generate", scored
+            if turn == 0 and split is not None:
+                scored = scored.unionByName(split.select(*scored.columns))
             route = q.route_after_evaluate(F.col("passed"), F.col("attempts"), F.col("web_used"), F.col("query_type"), s.max_corrections)
+            yield "evaluate_answer", scored.select("query_id", "composite_score", "passed", route.alias("route"))
             if turn == s.max_corrections:
                 to_web = scored.where(route == "web_search") if self.web_pages is not None else None
                 done.append(scored.where(route != "web_search") if to_web is not None else scored)
                 if to_web is not None:
-                    done.append(keep(self._from_web(to_web)))
+                    done.append(keep(self._from_web(to_web), "from-web"))
+                    yield "web_search", done[-1]
                 break
             done.append(scored.where(route != "rewrite_query"))
             again = scored.where(route == "rewrite_query")
             if again.isEmpty():
                 break
-            now = again.select(*(c for c in start.columns if c not in ("active_query", "attempts")), p.rewrite(F.col("query")).alias("active_query"), (F.col("attempts") + 1).alias("attempts")).select(*start.columns)
-        return self._finalize(done)
+            now = again.select(*(x for x in start.columns if x not in ("active_query", "attempts")), p.rewrite(F.col("query")).alias("active_query"), (F.col("attempts") + 1).alias("attempts")).select(*start.columns)
+            yield "rewrite_query", now
+        out = keep(self._finalize(done), "answers")
+        yield "finalize_answer", out
+        self._remember(out)
+        yield "done", out
+
+    def _from_cache(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Questions with an entry, of the same text or else similar enough, and the others."""
+        s = self.settings
+        names = ("answer", "faithfulness", "answer_relevancy", "context_groundedness", "composite_score")
+        entries = keep(c.live(self.cache, F.current_timestamp()), "cache-live")
+        looked = keep(c.exact_tier(asked, entries.select("cache_key", *names)), "cache-exact")
+        found = looked.where("hit").drop("hit")
+        rest = looked.where("NOT hit").select(*asked.columns)
+        embedded = embed_distinct(rest, "query", self.embedder).select("query_id", "embedding")
+        ranked = entries.select(F.col("cache_key").alias("entry_id"), "embedding", F.col("created_at").alias("recency"))
+        near = c.semantic_tier(embedded, ranked, s.cache_similarity, s.cache_window).where("hit")
+        like = keep(rest.join(near.select("query_id", "entry_id", "similarity"), "query_id").join(entries.select(F.col("cache_key").alias("entry_id"), *names), "entry_id").withColumnRenamed("entry_id", "cache_key"), "cache-semantic")
+        hits = found.unionByName(like.select(*found.columns)).withColumns({"passed": F.lit(True), "cached": F.lit(True), "n_chunks": F.lit(0).cast("bigint")})
+        return hits, keep(rest.join(like.select("query_id"), "query_id", "left_anti"), "cache-missed")
+
+    def _remember(self, answers: DataFrame) -> None:
+        """Write passed answers to the cache; of one key the answer of the last question holds."""
+        fresh = embed_distinct(answers.where("passed AND NOT served_from_cache"), "query", self.embedder)
+        now = F.current_timestamp()
+        rows = fresh.select("cache_key", "query", "answer", "embedding", "faithfulness", "answer_relevancy", "context_groundedness", "composite_score", "strategy", F.col("attempts").alias("correction_attempts"), F.lit(0).cast("bigint").alias("hit_count"), now.alias("created_at"), F.timestamp_add("SECOND", F.lit(self.settings.cache_ttl_seconds), now).alias("expires_at"), F.lit(True).alias("evaluation_passed"), F.xxhash64("query_id").alias("seq"))
+        rows = rows.withColumn("seq", F.when(F.col("seq") < 0, -(F.col("seq") + 1)).otherwise(F.col("seq")))
+        old = self.cache if self.cache is not None else answers.sparkSession.createDataFrame([], CACHE)
+        self.cache = keep(c.write(old.select(*(x for x in rows.columns if x not in ("evaluation_passed", "seq"))), rows), "cache")
 
     def _from_web(self, rows: DataFrame) -> DataFrame:
         """Answers from the web source; a question's corpus passages stay its evidence where it has any."""
         found = web_search(self.web_pages, rows.select("query_id", F.col("active_query").alias("query")), self.settings.web_results)
         best = found.groupBy("query_id").agg(F.min_by("content", "rank").alias("best"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]), "\n").alias("context"))
-        base = rows.select("query_id", "query", "active_query", "query_type", "strategy", "is_multi_hop", "attempts", F.lit(True).alias("web_used"), "n_chunks")
+        base = rows.select("query_id", "query", "active_query", "query_type", "strategy", "is_multi_hop", "attempts", F.lit(True).alias("web_used"), "decomposed", "n_chunks")
         return self._score(base.join(best, "query_id", "left"))
 
     def _finalize(self, parts: list[DataFrame]) -> DataFrame:
-        cols = ["query_id", "query", "active_query", "query_type", "strategy", "attempts", "web_used", "n_chunks", "answer", "faithfulness", "answer_relevancy", "context_groundedness", "composite_score", "passed"]
+        cols = ["query_id", "query", "active_query", "query_type", "strategy", "attempts", "web_used", "decomposed", "n_chunks", "answer", "faithfulness", "answer_relevancy", "context_groundedness", "composite_score", "passed"]
         out = None
         for x in parts:
-            x = x.select(*cols, (F.col("cached") if "cached" in x.columns else F.lit(False)).alias("served_from_cache"))
+            cached = "cached" in x.columns
+            x = x.select(*cols, F.lit(cached).alias("served_from_cache"), (F.col("similarity") if cached else F.lit(0.0)).alias("similarity"))
             out = x if out is None else out.unionByName(x)
-        conf = q.confidence(F.col("composite_score"), F.col("attempts"), F.col("served_from_cache"), F.lit(1.0))
+        conf = q.confidence(F.col("composite_score"), F.col("attempts"), F.col("served_from_cache"), F.col("similarity"))
         return out.withColumns({"confidence_label": q.band(conf), "confidence_score": q.band_score(conf), "gate_passed": q.gate_passed(F.col("passed"), F.col("served_from_cache")), "corrections_exhausted": q.exhausted(F.col("passed"), F.col("served_from_cache"), F.col("attempts")), "cache_key": cache_key(F.col("query"))})
 
-    def ask_iter(self, questions: DataFrame):
-        """Stage events for a caller that shows progress: (stage, table)."""
-        out = self.ask(questions)
-        yield "node_complete", out
-        yield "done", out.groupBy("confidence_label").count()
-
     def health(self) -> dict[str, object]:
         return {"status": "healthy", "chunks": self.corpus.count(), "web_search": "configured" if self.web_pages is not None else "not configured"}
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tessera.functions import scalar as s
 from tessera.operators import cache, evaluate, fusion, ingest, quality, tables, trace, vector
 from tessera.operators.bm25 import Bm25Index
-from tessera.plans import adaptive
+from tessera.plans import adaptive, subqueries
 from tessera.plans.frames import SCORES_SQL, corpus, questions, scores, table, vectors
-from tessera.sources import files
+from tessera.sources import files, providers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -338,7 +338,17 @@ def keyword_hit_rate(spark, sf):
     return d.join(k, "item_id").select("item_id", s.keyword_hit_rate(F.col("kws"), F.col("text")).alias("rate"))
 
 
-@query()
+#: A chunk is (s, f, e): its first sentence, its first one that is not overlap, its last; c are running token counts, p those before each sentence.
+CHUNKS = f"""WITH RECURSIVE d AS (SELECT source || '/' || doc_id AS source, {SENT} AS s FROM documents),
+n AS (SELECT source, s, list_transform(s, lambda x: len(list_filter(string_split_regex(x, '\\s+'), lambda t: t <> ''))) AS n FROM d WHERE len(s) > 0),
+r AS (SELECT source, s AS sents, list_transform(range(1, len(n) + 1), lambda i: list_sum(n[1:i])::BIGINT) AS c, list_transform(range(0, len(n)), lambda i: CASE WHEN i = 0 THEN 0 ELSE list_sum(n[1:i])::BIGINT END) AS p FROM n),
+w AS (SELECT source, sents, c, p, 0 AS k, 1::BIGINT AS s, 1 + len(list_filter(c[2:], lambda x: x <= 512)) AS e FROM r
+  UNION ALL SELECT source, sents, c, p, k + 1, s2, e + 1 + len(list_filter(c[e + 2:], lambda x: x - p[s2] <= 512)) FROM (SELECT *, e + 1 - len(list_filter(p[s:e], lambda x: c[e] - x <= 64)) AS s2 FROM w) WHERE e < len(c))
+SELECT substr(sha256(source || ':' || chunk_index), 1, 12) AS chunk_id, source, content, chunk_index, token_count FROM (
+  SELECT source, array_to_string(sents[s:e], ' ') AS content, (row_number() OVER (PARTITION BY source ORDER BY k) - 1)::INT AS chunk_index, (c[e] - p[s])::INT AS token_count FROM w WHERE c[e] - p[s] >= 100)"""
+
+
+@query(CHUNKS)
 def sliding_chunks(spark, sf):
     return ingest.chunks(table(spark, sf, "documents").select(F.concat_ws("/", "source", "doc_id").alias("source"), "text"))
 
@@ -514,17 +524,63 @@ def dual_index_status(spark, sf):
     return ingest.dual_index(c, table(spark, sf, "benchmark").select(F.col("item_id").alias("chunk_id")), vectors(spark, sf).select(F.col("id").alias("chunk_id")), lambda df: df)[2]
 
 
+@query("""SELECT item_id, kind AS query_type, CASE kind WHEN 'factual' THEN 'bm25' WHEN 'abstract' THEN 'vector' ELSE 'hybrid' END AS strategy, array_to_string(subs, '|') AS sub_queries, kind = 'multi_hop' AND len(subs) >= 2 AS decomposed FROM (
+SELECT item_id, list_filter(list_transform(string_split_regex(text, '(?i)\\?\\s*|\\s+(?:and|versus|vs\\.?)\\s+'), lambda x: trim(x, ' ')), lambda x: x <> '') AS subs,
+CASE WHEN regexp_matches(lower(text), '\\b(compare|versus|vs|difference between)\\b|\\band\\b.*\\?.*\\?') THEN 'multi_hop' WHEN regexp_matches(lower(text), '\\b(latest|recent|today|current|now|this (week|month|year))\\b') THEN 'time_sensitive' WHEN regexp_matches(lower(text), '\\b(why|how|explain|describe)\\b') THEN 'abstract' ELSE 'factual' END AS kind
+FROM (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'Compare this: ' || text WHEN 1 THEN 'Why? ' || text ELSE text END AS text FROM benchmark))""")
+def classified_questions(spark, sf):
+    """Types, strategies and sub-queries by rule; two of three questions get a word that tells their type."""
+    i, p = F.col("item_id"), providers.Offline()
+    q = table(spark, sf, "benchmark").select("item_id", F.when(i % 3 == 0, F.concat(F.lit("Compare this: "), "text")).when(i % 3 == 1, F.concat(F.lit("Why? "), "text")).otherwise(F.col("text")).alias("text"))
+    kind, subs = p.classify(F.col("text")), p.sub_queries(F.col("text"))
+    return q.select("item_id", kind.alias("query_type"), quality.strategy_of(kind).alias("strategy"), F.array_join(subs, "|").alias("sub_queries"), quality.should_decompose(kind == "multi_hop", subs, F.lit(0)).alias("decomposed"))
+
+
+@query("SELECT user_id AS query_id, count(*) AS sub_query_count, count(*) FILTER (event_type <> 'error') AS successful_sub_queries FROM events GROUP BY 1")
+def sub_query_successes(spark, sf):
+    """Events as sub-query runs, errors as failed ones."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("query_id"), (F.col("event_type") != "error").alias("success"))
+    return subqueries.successes(e)
+
+
+@query("""SELECT item_id, k, words[k + 1] AS word, sizes[k + 1] AS size FROM (SELECT item_id, words, sizes, unnest(range(0, least(len(words), len(sizes)))) AS k FROM
+(SELECT item_id, string_split(text, ' ') AS words, list_slice(list_transform(string_split(text, ' '), lambda x: length(x)), 1, 4) AS sizes FROM benchmark))""")
+def positional_zip(spark, sf):
+    """Words and the first four words' lengths by place: the shorter list tells how many."""
+    words = F.split("text", " ")
+    b = table(spark, sf, "benchmark").select("item_id", words.alias("word"), F.slice(F.transform(words, lambda x: F.length(x).cast("long")), 1, 4).alias("size"))
+    return subqueries.zipped(b, "word", "size").withColumn("k", F.col("k").cast("long"))
+
+
+PAGES = f"""pages_text AS (SELECT page_id AS doc_id, coalesce(url, '') AS url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' ') AS title,
+  trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS text FROM pages),
+pages_kept AS (SELECT * FROM pages_text WHERE text <> ''), {BM25.replace('FROM documents', 'FROM pages_kept')}"""
+
+
+@query(f"WITH {PAGES} SELECT query_id, url, title, bm25_score AS score, rank FROM rk JOIN pages_kept p ON p.doc_id = rk.chunk_id WHERE rank <= 5")
+def web_search(spark, sf):
+    return files.web_search(table(spark, sf, "pages"), questions(spark, sf), 5).select("query_id", "url", "title", "score", F.col("rank").cast("long").alias("rank"))
+
+
 # --- model-backed and iterative, without SQL --------------------------------------------
+def _near(spark, sf):
+    v = vectors(spark, sf)
+    return vector.CellIndex(v, cells=20).batch_top_k(v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding"), 20, probes=5)
+
+
 @query()
 def ann_topk(spark, sf):
     """Approximate neighbours, within cells, of every vector whose id is divisible by 50."""
-    v = vectors(spark, sf)
-    return vector.CellIndex(v, cells=20).batch_top_k(v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding"), 20, probes=5).withColumn("rank", F.col("rank").cast("long"))
+    return _near(spark, sf).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
-def web_search(spark, sf):
-    return files.web_search(table(spark, sf, "pages"), questions(spark, sf), 5).select("query_id", "url", "title", "score", "rank")
+@query("SELECT count(*) AS questions, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def ann_recall(spark, sf):
+    """Of the questions of ``ann_topk``, whether nine in ten of their exact neighbours are found."""
+    v = vectors(spark, sf)
+    exact = vector.batch_top_k(v, v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding"), 20)
+    hit = exact.join(_near(spark, sf).select("query_id", "id", F.lit(True).alias("found")), ["query_id", "id"], "left")
+    return hit.agg(F.count_distinct("query_id").alias("questions"), (F.count_if("found") >= 0.9 * F.count("*")).alias("enough"))
 
 
 @query()

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.bm25 import Bm25Index
-from tessera.operators.ingest import admission
+from tessera.operators.ingest import admission, sniffed
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(source, length, reason, content) of every file under ``path``; reason ``ok`` admits it."""
+    """(source, length, reason, content) of every file under ``path``; reason ``ok`` admits it.  Spark's reader passes over empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("source"), "length", admission(F.col("path"), F.col("length")).alias("reason"), "content")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("source"), "length", admission(F.col("path"), F.col("length"), sniffed(F.col("content"))).alias("reason"), "content")
 
 
 def text_pages(files: DataFrame) -> DataFrame:

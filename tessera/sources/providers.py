@@ -54,9 +54,66 @@ def embed_distinct(df: DataFrame, text: str, embedder: Embedder) -> DataFrame:
     return keyed.join(made, "_k").drop("_k")
 
 
+class Classifier(Protocol):
+    def classify(self, query: Column) -> Column: ...
+
+    def sub_queries(self, query: Column) -> Column: ...
+
+
+class Generator(Protocol):
+    def answer(self, query: Column, best: Column) -> Column: ...
+
+    def rewrite(self, user_query: Column) -> Column: ...
+
+    def synthesise(self, query: Column, parts: Column, plain: Column) -> Column: ...
+
+
+class Critic(Protocol):
+    def scores(self, query: Column, answer: Column, context: Column) -> list[Column]: ...
+
+
+class Reranker(Protocol):
+    def score(self, query: Column, content: Column) -> Column: ...
+
+
+class Checkpointer(Protocol):
+    """Keeps a table between the steps of a plan."""
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame: ...
+
+
+class Provider(Classifier, Generator, Critic, Protocol):
+    """What the adaptive plan asks of models."""
+
+
+class OverlapReranker:
+    """Pair scores by the share of the question's tokens."""
+
+    def score(self, query: Column, content: Column) -> Column:
+        return overlap(query, content)
+
+
+class SharedFolder:
+    """Tables in the folder that driver and executors share."""
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        from tessera.storage import keep
+
+        return keep(df, tag)
+
+
 class Offline:
     """Classifier, generator, critic and rewriter by rules."""
 
+    def sub_queries(self, query: Column) -> Column:
+        """What stands between question marks and the words that join two questions or two things compared."""
+        parts = F.split(F.coalesce(query, F.lit("")), r"(?i)\?\s*|\s+(?:and|versus|vs\.?)\s+")
+        return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+
+    def synthesise(self, query: Column, parts: Column, plain: Column) -> Column:
+        """The sub-answers in their order."""
+        return plain
+
     def classify(self, query: Column) -> Column:
         return quality.classify(query)
 

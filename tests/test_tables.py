@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import Settings
 from tessera.operators import cache, evaluate, ingest, tables, trace
+from tessera.plans import subqueries
 from tessera.plans.adaptive import Engine
 from tessera.sources.benchmark import benchmark
 from tessera.sources.files import read_files, text_pages, web_search
@@ -135,3 +136,50 @@ def test_adaptive_ask(spark):
     assert got[1].passed and got[1].attempts == 0 and got[1].confidence_label == "VERIFIED"
     assert not got[2].passed and got[2].attempts == 1
     assert len(got) == 2
+
+
+def test_multi_hop_questions_are_decomposed_and_answers_cached(spark):
+    c = spark.createDataFrame([("c1", "s", "bm25 ranks passages by rare terms"), ("c2", "s", "vectors find similar meaning"), ("c3", "s", "filters spare shuffles")], "chunk_id string, source string, content string")
+    engine = Engine(c, Settings(max_corrections=0))
+    q = spark.createDataFrame([(1, "compare bm25 ranks passages and vectors find similar meaning"), (2, "filters spare shuffles")], "query_id int, query string")
+    events = list(engine.ask_iter(q))
+    assert [x for x, _ in events] == ["classify_query", "decompose_query", "retrieve_and_generate", "evaluate_answer", "finalize_answer", "done"]
+    got = {r.query_id: r for r in events[-1][1].collect()}
+    assert got[1].decomposed and not got[2].decomposed and len(got) == 2
+    assert "bm25 ranks" in got[1].answer and "vectors find" in got[1].answer
+    assert got[2].passed and not got[2].served_from_cache
+    again = {r.query_id: r for r in engine.ask(spark.createDataFrame([(3, " Filters spare shuffles"), (4, "shuffles spare filters"), (5, "nothing like it")], "query_id int, query string")).collect()}
+    assert again[3].served_from_cache and again[3].similarity == 1.0  # the same text
+    assert again[4].served_from_cache and again[4].similarity > 0.95  # the same words
+    assert not again[5].served_from_cache
+
+
+def test_zip_and_success_counts(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "c"], [1.0, 2.0]), (2, [], [1.0]), (3, None, [1.0])], "id int, chunk array<string>, embedding array<double>")
+    assert [tuple(r) for r in subqueries.zipped(df, "chunk", "embedding").orderBy("id", "k").collect()] == [(1, 0, "a", 1.0), (1, 1, "b", 2.0)]
+    runs = spark.createDataFrame([(1, True), (1, False), (2, False)], "query_id int, success boolean")
+    assert sorted(map(tuple, subqueries.successes(runs).collect())) == [(1, 2, 1), (2, 1, 0)]
+
+
+def test_sniffed_types_decide_admission(spark, tmp_path):
+    for name, data in (("a.pdf", b"%PDF-1.7 x"), ("b.txt", b"plain"), ("c.txt", b"MZ\x00\x01"), ("e.exe", b"plain")):
+        (tmp_path / name).write_bytes(data)
+    got = {r.source: r.reason for r in read_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.pdf": "ok", "b.txt": "ok", "c.txt": "mime", "e.exe": "extension"}
+
+
+def test_blocks_previews_and_a_failing_index(spark):
+    q = spark.createDataFrame([(1,), (2,)], "query_id int")
+    docs = spark.createDataFrame([(1, 2, "b", "s", 0.5), (1, 1, "a", "t", 1.25)], "query_id int, rank int, content string, source string, score double")
+    got = {r.query_id: r.context for r in ingest.context_block(docs, q).collect()}
+    assert got == {1: "[Doc 1] (relevance: 1.25)\na\nSource: t\n\n---\n\n[Doc 2] (relevance: 0.50)\nb\nSource: s", 2: "No context available."}
+    web = docs.select("query_id", "rank", F.lit("T").alias("title"), "content", F.lit("u").alias("url"), "score")
+    assert ingest.web_block(web).first().context.startswith("[Web 1] (score: 1.25) T\na\nSource: u")
+    chunks = spark.createDataFrame([(f"c{k}", "s", "x" * (95 + k), k) for k in range(8)], "chunk_id string, source string, content string, chunk_index int")
+    first = ingest.first_previews(chunks).orderBy("chunk_index").collect()
+    assert [len(r.preview) for r in first] == [95, 96, 97, 98, 99]
+
+    def fails(_):
+        raise ConnectionError("down")
+
+    assert ingest.index_both(chunks, lambda c: c.count(), fails) == {"chunk_count": 8, "bm25_inserted": 8, "vectors_inserted": 0, "errors": ["vectors_inserted: ConnectionError"]}
