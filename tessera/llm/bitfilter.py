@@ -37,7 +37,8 @@ def bit_filter(keys: DataFrame, column: str) -> bytes:
     def merge(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": g["block"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in g["bits"]]).tobytes()]})
 
-    got = keys.select(column).coalesce(24).mapInArrow(mark, "block int, bits binary").groupBy("block").applyInPandas(merge, "block int, bits binary").toPandas()
+    parts = max(24, keys.sparkSession.sparkContext.defaultParallelism)  # a task sends a filter at most
+    got = keys.select(column).coalesce(parts).mapInArrow(mark, "block int, bits binary").groupBy("block").applyInPandas(merge, "block int, bits binary").toPandas()
     out = np.zeros((1 << bits) // 8, np.uint8)
     for k, v in zip(got["block"], got["bits"], strict=True):
         out[k * block // 8 : (k + 1) * block // 8] = np.frombuffer(v, np.uint8)

@@ -126,7 +126,9 @@ class Bpe:
 
     def encode_text_piece(self, text: str) -> bytes:
         body = text[1:]
-        if body.isalpha() and max(body) < "\u0250":  # " word" or "\nword": what the pattern gives, at less cost
+        if self.pattern != public_tokenizers.PATTERN:
+            split = self.split(text)
+        elif body.isalpha() and max(body) < "\u0250":  # " word" or "\nword": what the pattern gives, at less cost
             split = [text] if text[0] == " " else [text] if text[0].isalpha() and text[0] < "\u0250" else self.split(text)
         elif text[0] == " " and body[-1:] in (".", ",") and body[:-1].isalpha() and max(body) < "\u0250":
             split = [text[:-1], text[-1]]
@@ -160,8 +162,8 @@ def coder(ranks_path: str | None, pattern: str) -> tuple[Bpe, PieceMemo, dict[in
 def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Per row of ``docs``: doc_id, ids (array of int) of its whole text, and decoded (binary).
 
-    Null and empty texts have no ids.  Other columns are not read; repeated rows give
-    repeated rows.  One narrow stage: no shuffle.
+    Null and empty texts have no ids, very long ones are encoded whole.  Other columns are not read, whatever their
+    names; repeated rows give repeated rows, no rows none.  One narrow stage: no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +177,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public
 
 
 def digests(docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, computed where the ids are, so that no ids move."""
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, computed where the ids are, so that no ids move; rows as in ``encode``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, memo, decimal = coder(ranks_path, pattern)

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,10 +47,27 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, tag: str) -> DataFrame:
+#: Paths of the tables made within each open ``temporary``, the innermost last.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables saved within go at the end, but for those saved as ``kept``, which belong to what is around it."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove(spark, path)
+
+
+def save(df: DataFrame, tag: str, kept: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    if len(_OPEN) > kept:
+        _OPEN[-1 - kept].append(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -69,24 +88,27 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps (each a map-side combined minimum and a join
     whose two sides are written tables, so that a hub's edges can be split over tasks) until
-    every edge points at its component's smallest id.  No edge list reaches the driver.
+    every edge points at its component's smallest id.  No edge list reaches the driver.  Tables are written in as
+    many files as their edges need, at least one a core.
     """
     spark = edges.sparkSession
     now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    n = now.count()
     while True:
+        parts = max(spark.sparkContext.defaultParallelism, n // 100_000)
         both = now.union(now.select("v", "u"))
-        low = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
+        low = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(parts), "cc-low")
         # large star: every larger neighbour of u goes to the smallest of u's neighbourhood
-        large = save(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc-large")
+        large = save(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().coalesce(parts), "cc-large")
         # small star: u's smaller neighbours, and u, go to the smallest of them
-        least = save(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
+        least = save(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts), "cc-least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        nxt = save(small, "cc")
-        n, changed = nxt.count(), nxt.join(now, ["u", "v"], "left_anti").count()
-        same = n == now.count()
+        nxt = save(small.coalesce(parts), "cc")
+        before, n = n, nxt.count()
+        changed = n != before or not nxt.join(now, ["u", "v"], "left_anti").isEmpty()
         for x in (now, low, large, least):
             drop(x)
         now = nxt
-        if same and not changed:
+        if not changed:
             break
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

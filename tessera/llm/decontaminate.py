@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import save, table
+from tessera.llm.common import save, table, temporary
 
 #: Tokens a window, and the share of an item's windows that a document must have.
 WIDTH, SHARE = 5, 0.8
@@ -98,6 +98,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, he
     windows and slots.  An item of one word, null or empty is no passage and matches nothing.  Very long texts are read
     whole; other columns are not read, whatever their names.  No documents or no items, no rows.
     """
+    with temporary(docs.sparkSession):
+        return save(_contaminated(docs, benchmark, share, held_windows), "contaminated", kept=True)
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, share: float, held_windows: int) -> DataFrame:
     own = save(benchmark_windows(benchmark), "bench")
     small = own.count() <= held_windows
     held = (lambda df: F.broadcast(df)) if small else (lambda df: df)  # checked: see HELD_WINDOWS

@@ -3,22 +3,29 @@
 In text where each white-space character is a single space or newline between two
 others, a space before a word, or a newline, always starts a new pre-token of the GPT-2
 style pattern, so a text's ids are the joined ids of its pieces " word" and "\\nword".
-Any other text is split by the pattern itself.  Pieces repeat, so their ids are kept.
+Any other text is split by the pattern itself, and so are all texts where the pattern is
+another one.  Pieces repeat, so their ids are kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import public_tokenizers
 import regex
 
 
 class PieceMemo:
-    """``encode`` maps a list of pieces to their ids (bytes of little-endian uint32 each)."""
+    """``encode`` maps a list of pieces to their ids (bytes of little-endian uint32 each).
+
+    At most two generations of ``limit`` pieces are kept: what is not used for a whole generation goes.
+    """
 
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], pattern: str, limit: int = 300_000) -> None:
         self.encode, self.split, self.limit = encode, regex.compile(pattern).findall, limit
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.usual = pattern == public_tokenizers.PATTERN
 
     def _look_up(self, pieces: list[str]) -> bytes:
         known = self.known
@@ -26,8 +33,11 @@ class PieceMemo:
             return b"".join(map(known.__getitem__, pieces))
         except KeyError:
             if len(known) > self.limit:
-                known.clear()
-            missing = list(set(pieces).difference(known))
+                self.old, self.known = known, {}
+                known = self.known
+            lacking, old = set(pieces).difference(known), self.old
+            known.update((p, old[p]) for p in lacking if p in old)
+            missing = list(lacking.difference(known))
             known.update(zip(missing, self.encode(missing), strict=True))
             return b"".join(map(known.__getitem__, pieces))
 
@@ -38,7 +48,7 @@ class PieceMemo:
         return self._look_up(self._pieces(text))
 
     def _pieces(self, text: str) -> list[str]:
-        single = not any(map(text.__contains__, ("  ", " \n", "\n ", "\n\n", "\0")))
+        single = self.usual and not any(map(text.__contains__, ("  ", " \n", "\n ", "\n\n", "\0")))
         if single and not text[0].isspace() and not text[-1].isspace() and len(text.split()) == text.count(" ") + text.count("\n") + 1:
             return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
         return self.split(text)

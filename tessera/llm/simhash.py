@@ -20,10 +20,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, save, table
+from tessera.llm.common import components, save, table, temporary
 
 EVERY_OTHER = 0x5555555555555555
-#: Most fingerprints of a cell that one task compares.
+#: Most fingerprints of a cell that are compared in one go; those of a fuller cell are compared in blocks, two by two.
 HELD = 20_000
 
 
@@ -84,12 +84,6 @@ def _masks(groups: int, distance: int, segments: int = 32) -> list[int]:
     return [_signed(sum(part[k] for k in own)) for own in combinations(range(groups), groups - distance)]
 
 
-def _parts(free: int, n: int) -> list[int]:
-    """``n`` masks that share the bits set in ``free`` among them."""
-    bits = [k for k in range(64) if free >> k & 1]
-    return [_signed(sum(1 << k for k in bits[round(j * len(bits) / n) : round((j + 1) * len(bits) / n)])) for j in range(n)]
-
-
 def _cells(points: DataFrame, value: Column, masks: list[int]) -> DataFrame:
     """A row (c, cell, fp) for each fingerprint and mask."""
     keys = F.array(*(F.struct(F.lit(k).alias("c"), value.bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(masks)))
@@ -98,17 +92,21 @@ def _cells(points: DataFrame, value: Column, masks: list[int]) -> DataFrame:
 
 def _forest(distance: int):
     def run(cell: pd.DataFrame) -> pd.DataFrame:
-        """Links that connect what is linked within one cell, each new row compared with all before it."""
-        fp = np.sort(cell["fp"].to_numpy())
-        bits = fp.view(np.uint64)
-        root = np.arange(len(fp))
-        out = []
-        for k in range(1, len(fp)):
-            near = np.nonzero(np.bitwise_count(bits[:k] ^ bits[k]) <= distance)[0]
-            for r in np.unique(root[near]):
-                out.append((fp[near[root[near] == r][0]], fp[k]))
-                root[: k + 1][root[: k + 1] == r] = k
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        """Links that connect what is linked within one cell: what is reached no longer takes part, so alike rows cost little."""
+        fp = np.unique(cell["fp"].to_numpy())
+        left, front, out = fp.view(np.uint64), [], []
+        while len(left):
+            if not front:
+                front, left = [left[0]], left[1:]
+            x = front.pop()
+            near = np.bitwise_count(left ^ x) <= distance
+            if near.any():
+                got = left[near]
+                out.append(np.stack([np.full(len(got), x), got], 1))
+                front += list(got)
+                left = left[~near]
+        pairs = np.concatenate(out).view(np.int64) if out else np.empty((0, 2), np.int64)
+        return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)})
 
     return run
 
@@ -118,33 +116,25 @@ def links(points: DataFrame, distance: int = 3, groups: int = 6, dense: int = 25
 
     Cells of at most ``dense`` fingerprints give all their linked pairs.  Fuller ones, up to
     ``HELD``, are compared within one task, which gives links that connect all that the cell links.
-    Those of still fuller cells are dealt again within their cell: their free bits make ``distance`` + 1 parts, of
-    which at least one does not differ.  A cell of fingerprints so alike that dealing only adds comparisons is
-    compared as it is, in one task and in memory that grows with its size and not its square.  So every link is a row, or its ends are connected by rows, and no
-    row count grows with a square.  For wider distances the cells take ``segments`` of one bit (64),
-    whose counts are the bits.
+    The rows of still fuller cells are dealt into blocks of half as many, and each two blocks are compared in a task of their
+    own.  So every link is a row, or its ends are connected by rows, no task holds more than ``HELD`` rows or so, and no row
+    count grows with a square.  For wider distances the cells may take ``segments`` of one bit (64), whose counts are the bits.
     """
     masks = _masks(groups, distance, segments)
     cells = _cells(points, popcounts(F.col("fp")) if segments == 32 else F.col("fp"), masks)
     sizes = save(cells.groupBy("c", "cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
-    held = save(cells.join(sizes.where(F.col("n") <= HELD), ["c", "cell"]).select("c", "cell", "n", "fp"), "cells-held")
+    held = save(cells.join(sizes, ["c", "cell"]).select("c", "cell", "n", "fp"), "cells-held")
     few = held.where(F.col("n") <= dense)
     a, b = few.select("c", "cell", F.col("fp").alias("a")), few.select("c", "cell", F.col("fp").alias("b"))
     near = manhattan(popcounts(F.col("a")), popcounts(F.col("b"))) <= distance
     pairs = a.join(b, ["c", "cell"]).where("a < b").where(near).where(hamming(F.col("a"), F.col("b")) <= distance).select("a", "b")
-    out = "a long, b long"
-    pairs = pairs.union(held.where(F.col("n") > dense).groupBy("c", "cell").applyInPandas(_forest(distance), out))
-    full = sizes.where(F.col("n") > HELD)
-    if full.isEmpty():
-        return pairs
-    hot = save(cells.join(full.select("c", "cell"), ["c", "cell"]).select("c", "cell", "fp"), "cells-hot")
-    parts = F.array(*(F.array(*map(F.lit, _parts(~m if segments == 64 else -1, distance + 1))) for m in masks))
-    fine = hot.select("c", "cell", "fp", F.posexplode(F.get(parts, F.col("c"))).alias("part", "m")).select("c", "cell", "part", F.col("fp").bitwiseAND(F.col("m")).alias("sub"), "fp")
-    square = F.sum(F.col("size").cast("double") * F.col("size"))
-    work = fine.groupBy("c", "cell", "part", "sub").agg(F.count("*").alias("size")).groupBy("c", "cell").agg(square.alias("fine"))
-    pays = save(full.join(work, ["c", "cell"]).select("c", "cell", (F.col("fine") < F.col("n").cast("double") * F.col("n")).alias("pays")), "cells-pay")
-    pairs = pairs.union(fine.join(pays.where("pays"), ["c", "cell"], "left_semi").groupBy("c", "cell", "part", "sub").applyInPandas(_forest(distance), out))
-    return pairs.union(hot.join(pays.where("NOT pays"), ["c", "cell"], "left_semi").groupBy("c", "cell").applyInPandas(_forest(distance), out))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") * 2 / HELD)).cast("int")
+    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    many = held.where(F.col("n") > dense).select("c", "cell", "fp", (F.col("n") > HELD).alias("full"), blocks.alias("blocks"), own.alias("own"))
+    other = F.when(F.col("full"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
+    dealt = many.select("c", "cell", "fp", "full", "own", F.explode(other).alias("j"))
+    pair = [F.when(F.col("full"), x).otherwise(0).alias(k) for k, x in (("i", F.least("own", "j")), ("k", F.greatest("own", "j")))]
+    return pairs.union(dealt.select("c", "cell", *pair, "fp").groupBy("c", "cell", "i", "k").applyInPandas(_forest(distance), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3, groups: int = 6, segments: int = 32, dense: int = 256) -> DataFrame:
@@ -154,12 +144,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3, groups: i
     and do not name a component (which is null where no row of it has an id).  Repeated rows
     give repeated rows.  No table, no rows.
     """
-    by_doc = save(fingerprints(docs, size), "fp")
-    distinct = save(by_doc.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-distinct")
-    comp = save(components(links(distinct.select("fp"), distance, groups, dense, segments)), "fp-cc")
-    named = distinct.join(comp, distinct.fp == comp.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = save(named.groupBy("component").agg(F.min("least").alias("component_id")), "fp-least")
-    of_fp = save(named.join(least, "component").select("fp", "component_id"), "fp-named")
+    with temporary(docs.sparkSession):
+        by_doc = save(fingerprints(docs, size), "fp", kept=True)
+        distinct = save(by_doc.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-distinct")
+        comp = save(components(links(distinct.select("fp"), distance, groups, dense, segments)), "fp-cc")
+        named = distinct.join(comp, distinct.fp == comp.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+        least = save(named.groupBy("component").agg(F.min("least").alias("component_id")), "fp-least")
+        of_fp = save(named.join(least, "component").select("fp", "component_id"), "fp-named", kept=True)
     return by_doc.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tessera.llm.common import components, free_name, save
+from tessera.llm.common import components, free_name, save, temporary
 
 CHECK, RUN, CELLS = 4, 11, 64
 WORDS = CHECK + -(-CELLS * RUN // 32)
-#: Rows of a cell that are compared in one go; of a fuller cell, blocks of so many rows are compared two by two.
-HELD = 50_000
+#: Rows of a cell that are compared in one go, some 10 MB; of a fuller cell, blocks of so many rows are compared two by
+#: two.  Also the most overfull cells whose numbers are broadcast.
+HELD = 200_000
 #: Groups of at most so many rows are compared as whole columns.
 SMALL = 12
 _LOW = np.uint64(0x5555555555555555)
@@ -165,11 +166,11 @@ def links(units: DataFrame, most: int, held: int | None = None) -> DataFrame:
     # Which cells are overfull is told by a 16th of the rows: it decides how a cell's rows are compared, not which.
     some = units.where(F.xxhash64("uid") % 16 == 0).select("uid", "sig").mapInArrow(deal, "cell long, uid long, head binary")
     full = save(some.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") * 16 > held).select("cell", F.ceil(F.col("n") * 16 / held).cast("int").alias("blocks")), "full-cells")
-    if not full.isEmpty():
-        dealt = save(dealt, "dealt")
-        hot = dealt.join(full, "cell").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    n = full.count()
+    if n:
         pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("cell", F.least("own", j), F.greatest("own", j)))
-        dealt = dealt.join(full, "cell", "left_anti").union(hot.select(F.explode(pair).alias("cell"), "uid", "head"))
+        met = dealt.join(F.broadcast(full) if n <= HELD else full, "cell", "left").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+        dealt = met.select(F.explode(F.when(F.col("blocks").isNull(), F.array("cell")).otherwise(pair)).alias("cell"), "uid", "head")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -219,12 +220,18 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns, own], names)
 
     schema = StructType([StructField(f.name, f.dataType, True) for f in given.schema.fields] + [StructField(sig, BinaryType(), True)])
-    rows = save(given.mapInArrow(sign, schema), "signed")
+    with temporary(docs.sparkSession):
+        rows = save(given.mapInArrow(sign, schema), "signed", kept=True)
+        first = _first(rows, rid, sig, limit(similarity))
+    none = rows.where(F.col(sig).isNull()).select(*docs.columns)
+    return rows.join(first, rid, "left_semi").select(*docs.columns).union(none)
+
+
+def _first(rows: DataFrame, rid: str, sig: str, most: int) -> DataFrame:
+    """(rid): the first row of each group of near copies."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col(rid).alias("r"))
     units = rows.where(F.col(sig).isNotNull()).groupBy(F.col(sig).alias("sig")).agg(F.min(order).alias("first"))
     units = save(units.withColumn("uid", F.monotonically_increasing_id()), "units")
-    comp = components(links(units, limit(similarity)))
+    comp = components(links(units, most))
     named = units.select("uid", "first").join(comp, F.col("uid") == F.col("id"), "left").select(F.coalesce("component", "uid").alias("component"), "first")
-    first = save(named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.r").alias(rid)), "firsts")
-    none = rows.where(F.col(sig).isNull()).select(*docs.columns)
-    return rows.join(first, rid, "left_semi").select(*docs.columns).union(none)
+    return save(named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.r").alias(rid)), "firsts", kept=True)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bitfilter import bit_filter, hit
-from tessera.llm.common import drop, save, table
+from tessera.llm.common import drop, save, table, temporary
 
 WINDOW, GRAM = 200, 100
 SPREAD = WINDOW - GRAM  # the places that an anchor can have in its window: 0 .. SPREAD
@@ -86,7 +86,7 @@ class Repeats:
     """The steps over one table of texts."""
 
     def __init__(self, docs: DataFrame) -> None:
-        self.docs = save(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "numbered")
+        self.docs = save(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "numbered", kept=True)
 
     def spans(self) -> DataFrame:
         """(rid, h, s, t, first, last) of each anchor: its rank, its span's rank (with the anchor's place in it), its windows."""
@@ -111,10 +111,12 @@ class Repeats:
 
     def find(self) -> DataFrame:
         """(rid, first, last): runs of starts of windows that occur twice."""
-        # 1
+        # 1: a span's rank tells its anchor's, whose bytes and place it holds
         found = save(self.spans(), "spans")
-        kinds = save(found.groupBy("h", "s", "t").agg(F.count("*").alias("n"), F.min(F.struct("rid", "first", "last")).alias("one")), "span-kinds")
-        settled = save(found.join(kinds.where("n > 1").select("s", "t").distinct().hint("merge"), ["s", "t"]).select("rid", "first", "last"), "settled")
+        kinds = save(found.groupBy("s", "t").agg(F.any_value("h").alias("h"), F.count("*").alias("n"), F.min(F.struct("rid", "first", "last")).alias("one")), "span-kinds")
+        # Both sides are written tables, so that a span that very many texts share can be split over tasks.
+        twice = save(kinds.where("n > 1").select("s", "t"), "spans-twice")
+        settled = save(found.join(twice.hint("merge"), ["s", "t"]).select("rid", "first", "last"), "settled")
         drop(found)
         # 2
         open_ = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
@@ -216,8 +218,9 @@ def remove(docs: DataFrame) -> DataFrame:
     Texts are their UTF-8 bytes, of any length; null and shorter ones lose nothing.  Repeated rows are each
     other's copies, and lose all.  Other columns are not read, whatever their names.  No rows, no rows.
     """
-    r = Repeats(docs)
-    marks = save(r.find().groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "marks")
+    with temporary(docs.sparkSession):
+        r = Repeats(docs)
+        marks = save(r.find().groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "marks", kept=True)
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

@@ -9,6 +9,7 @@ one document or one id is read without the rest.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -119,6 +120,10 @@ class Tokens:
         added = self.library.get_added_tokens_decoder()
         self.added = re.compile("|".join(re.escape(t.content) for t in added.values()) or r"(?!)")
         self.memo = PieceMemo(self._pieces, public_tokenizers.PATTERN)
+        made = json.loads(self.library.to_str())
+        before = made["pre_tokenizer"] or {}
+        #: Whether pieces can be encoded apart: byte-level pre-tokens by the usual pattern, texts taken as they are.
+        self.apart = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and made["normalizer"] is None
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -140,7 +145,7 @@ class Tokens:
 
     def ids(self, text: str | None) -> np.ndarray:
         text = text or ""
-        if self.added.search(text):  # an added token may reach over pieces
+        if not self.apart or self.added.search(text):  # an added token may reach over pieces
             return self._encode(text)
         return np.frombuffer(self.memo.ids(text), "<u4")
 
@@ -161,11 +166,13 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int =
     Rows are dealt out in ranges of doc_id, sorted, encoded and packed in one stage; Spark's own
     committer places the files, so a lost executor's task is simply written again.  Null
     texts count as empty and have the end id alone.  Rows without doc_id come first; rows
-    that repeat a doc_id follow each other in the order of their texts' hashes.
+    that repeat a doc_id follow each other in the order of their texts' hashes.  Very long texts are encoded whole; other
+    columns are not read, whatever their names; no rows give no blocks.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()  # rows of one doc_id can be dealt to several tasks
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens(vocabulary)

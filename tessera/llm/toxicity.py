@@ -22,7 +22,7 @@ from tessera.llm.common import table
 
 #: Most labelled rows that are read for training, the ones of smallest hashed doc_id.
 SAMPLE_ROWS = 6000
-#: Words that a worker remembers, some 30 MB.
+#: Words that a worker remembers for one generation, some 30 MB; two are kept.
 MEMO = 150_000
 #: n-grams with zero vectors that each average holds besides the text's own, against chance in short texts.
 PAD = 200
@@ -44,12 +44,16 @@ class Model:
     push: dict[str, float]
     bias: float
     memo: dict[str, tuple[float, int]] = field(default_factory=dict)
+    old: dict[str, tuple[float, int]] = field(default_factory=dict)
 
     def _word(self, word: str) -> tuple[float, int]:
         if len(self.memo) >= MEMO:
+            self.old = dict(self.memo)
             self.memo.clear()
-        grams = word_grams(word)
-        self.memo[word] = out = (sum(self.push.get(g, 0.0) for g in grams), len(grams))
+        if (out := self.old.get(word)) is None:
+            grams = word_grams(word)
+            out = (sum(self.push.get(g, 0.0) for g in grams), len(grams))
+        self.memo[word] = out
         return out
 
     def score(self, text: str | None) -> float:
