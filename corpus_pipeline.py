@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, linededup, simhash_wide, toxicity
-from tessera.llm.common import free_name, save, table
+from tessera.llm.common import drop, free_name, save, table, temporary
 
 #: Words a shingle, and the least similarity of near copies.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -68,7 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+    docs = last = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with temporary(spark):  # what a stage wrote goes with it, and so does its predecessor's table
+            docs = save(stage(spark, last, sf_dir), f"stage-{name}", kept=True)
+        if k:
+            drop(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
