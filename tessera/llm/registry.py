@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, divergence, exactdedup, infill, language, linededup, passages, simhash, substrings, tokenfile, toxicity
+from tessera.llm import bpe, decontaminate, divergence, exactdedup, infill, language, linededup, minhash, passages, simhash, substrings, tokenfile, toxicity
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -16,12 +16,14 @@ QUERIES = {
     "op8_repeated_bytes": substrings.op8_repeated_bytes,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_shared_passages": passages.op10_shared_passages,
+    "op11_minhash": minhash.op11_minhash,
     "op12_fill_in_middle": infill.op12_fill_in_middle,
     "op13_source_divergence": divergence.op13_source_divergence,
 }
 ORACLES: dict[str, str] = {
     "op4_line_dedup": linededup.ORACLE,
     "op5_exact_dedup": exactdedup.ORACLE,
+    "op11_minhash": minhash.op11_minhash,
     "op12_fill_in_middle": infill.ORACLE,
     "op13_source_divergence": divergence.ORACLE,
 }
