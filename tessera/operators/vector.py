@@ -1,18 +1,17 @@
-"""Exact and approximate nearest neighbours by cosine."""
+"""Exact nearest neighbours by cosine; ``ivf`` has the approximate ones."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.scalar import cosine, exact_round
+from tessera.operators.ivf import unit
 
 #: Question vectors that one pass over the table holds; more are taken in blocks.
 BLOCK = 4096
@@ -24,11 +23,9 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 20) -> DataFrame:
     return vectors.select("id", exact_round(cosine(F.col("embedding"), q), 6).alias("vector_score")).orderBy(F.col("vector_score").desc(), "id").limit(k)
 
 
-def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, near: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, id, vector_score, rank): each batch is one matrix product and gives its own k best,
-    so that k rows a question and batch are ranked in the end.
-
-    ``near`` tells for each question vector which cells it scans; ``vectors`` has its cells in a column then."""
+    so that k rows a question and batch are ranked in the end.  Questions are taken in blocks, each broadcast once."""
     rows = queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator()
     out, block = None, []
     types = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, vector_score double"
@@ -36,26 +33,22 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, near: Calla
     arrow = [to_arrow_type(df.schema[c].dataType) for df, c in ((queries, "query_id"), (vectors, "id"))]
 
     def scan(block) -> DataFrame:
-        ids = np.array([r.query_id for r in block])
-        raw = np.array([r.embedding for r in block], np.float64)
-        q, scanned = _unit(raw), None if near is None else near(raw)
+        asked = queries.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in block]), unit(np.array([r.embedding for r in block]))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = asked.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 own = batch.column(0).to_numpy(zero_copy_only=False)
                 place = np.argsort(np.argsort(own, kind="stable"), kind="stable")  # ids may be text
-                v = _unit(np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64))
+                v = unit(np.stack(batch.column(1).to_numpy(zero_copy_only=False)))
                 s = np.floor(q @ v.T * 1e6 + 0.5) / 1e6
-                if scanned is not None:
-                    s[~scanned[:, np.stack(batch.column(2).to_numpy(zero_copy_only=False))].any(2)] = -np.inf
                 order = np.lexsort((np.broadcast_to(place, s.shape), -s), axis=1)[:, :k]
                 best = np.take_along_axis(s, order, 1)
-                kept = best > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, kept.sum(1)), arrow[0]), pa.array(own[order][kept], arrow[1]), pa.array(best[kept])], ["query_id", "id", "vector_score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1]), arrow[0]), pa.array(own[order].ravel(), arrow[1]), pa.array(best.ravel())], ["query_id", "id", "vector_score"])
 
-        return vectors.select("id", "embedding", *([] if near is None else ["cells"])).mapInArrow(run, types)
+        return vectors.select("id", "embedding").mapInArrow(run, types)
 
     for r in rows:
         block.append(r)
@@ -65,51 +58,3 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, near: Calla
         out = scan(block) if out is None and block else out.union(scan(block)) if block else vectors.sparkSession.createDataFrame([], types)
     by = Window.partitionBy("query_id").orderBy(F.col("vector_score").desc(), "id")
     return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-
-class CellIndex:
-    """Approximate search: k-means cells, of which the ``probes`` nearest to a question are scanned.
-
-    A vector is held by its ``held`` nearest cells, so that neighbours across a border are found from both sides.
-    """
-
-    def __init__(self, vectors: DataFrame, cells: int = 100, sample: int = 50_000, seed: int = 1, held: int = 4) -> None:
-        points = vectors.select("id", "embedding", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-        model = KMeans(k=cells, seed=seed, maxIter=10).fit(points.orderBy(F.xxhash64("id")).limit(sample))
-        self.centers = centers = np.array(model.clusterCenters())
-
-        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    own = _nearest(centers, np.stack(batch.column(1).to_numpy(zero_copy_only=False)), held)
-                    lists = pa.array(own.tolist(), pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["id", "embedding", "cells"])
-
-        kept = vectors.select("id", "embedding")
-        types = ", ".join(f"{c} {kept.schema[c].dataType.simpleString()}" for c in kept.columns)
-        self.vectors = kept.mapInArrow(assign, f"{types}, cells array<int>")
-
-    def top_k(self, query: list[float], k: int = 20, probes: int = 10) -> DataFrame:
-        near = _nearest(self.centers, np.array([query]), probes)[0]
-        return top_k(self.vectors.where(F.arrays_overlap("cells", F.array(*map(F.lit, near.tolist())))), query, k)
-
-    def batch_top_k(self, queries: DataFrame, k: int = 20, probes: int = 10) -> DataFrame:
-        """(query_id, id, vector_score, rank) of many questions (query_id, embedding), each within its own nearest cells."""
-        centers = self.centers
-
-        def near(q: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(q), len(centers)), bool)
-            np.put_along_axis(out, _nearest(centers, q, probes), True, 1)
-            return out
-
-        return batch_top_k(self.vectors, queries, k, near)
-
-
-def _nearest(centers: np.ndarray, points: np.ndarray, n: int) -> np.ndarray:
-    """The numbers of the n centers nearest to each point."""
-    return np.argsort((centers**2).sum(1) - 2 * points.astype(np.float64) @ centers.T, axis=1, kind="stable")[:, :n]

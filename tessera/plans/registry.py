@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as s
-from tessera.operators import cache, evaluate, fusion, ingest, quality, tables, trace, vector
+from tessera.operators import cache, evaluate, fusion, ingest, ivf, quality, tables, trace, vector
 from tessera.operators.bm25 import Bm25Index
 from tessera.plans import adaptive, subqueries
 from tessera.plans.frames import SCORES_SQL, corpus, questions, scores, table, vectors
@@ -563,24 +563,48 @@ def web_search(spark, sf):
 
 
 # --- model-backed and iterative, without SQL --------------------------------------------
+def _asked_vectors(v):
+    return v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+
+
 def _near(spark, sf):
     v = vectors(spark, sf)
-    return vector.CellIndex(v, cells=20).batch_top_k(v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding"), 20, probes=5)
+    return ivf.InvertedFile.build(v).batch_top_k(_asked_vectors(v), 20, probes=8)
 
 
 @query()
 def ann_topk(spark, sf):
-    """Approximate neighbours, within cells, of every vector whose id is divisible by 50."""
+    """Approximate neighbours, of the probed lists, of every vector whose id is divisible by 50."""
     return _near(spark, sf).withColumn("rank", F.col("rank").cast("long"))
 
 
+def _recall(spark, sf):
+    """Of each exact neighbour of the questions of ``ann_topk``, whether it was found."""
+    v = vectors(spark, sf)
+    exact = vector.batch_top_k(v, _asked_vectors(v), 20)
+    return exact.join(_near(spark, sf).select("query_id", "id", F.lit(True).alias("found")), ["query_id", "id"], "left")
+
+
 @query("SELECT count(*) AS questions, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
 def ann_recall(spark, sf):
     """Of the questions of ``ann_topk``, whether nine in ten of their exact neighbours are found."""
+    return _recall(spark, sf).agg(F.count_distinct("query_id").alias("questions"), (F.count_if("found") >= 0.9 * F.count("*")).alias("enough"))
+
+
+@query()
+def ann_recall_counts(spark, sf):
+    """The same as numbers: exact neighbours asked for and found, and the recall."""
+    n = _recall(spark, sf).agg(F.count_distinct("query_id").alias("questions"), F.count("*").alias("asked"), F.count_if("found").alias("found"))
+    return n.withColumn("recall", F.round(F.col("found") / F.col("asked"), 4))
+
+
+@query("SELECT vec_id % 50 = 0 AND vec_id IS NOT NULL AS asked, count(*) AS vectors, count(*) AS indexed FROM embeddings GROUP BY 1")
+def ann_index_rows(spark, sf):
+    """Vectors that were asked for and others, and how many of each the lists' codes hold: every row is indexed."""
     v = vectors(spark, sf)
-    exact = vector.batch_top_k(v, v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding"), 20)
-    hit = exact.join(_near(spark, sf).select("query_id", "id", F.lit(True).alias("found")), ["query_id", "id"], "left")
-    return hit.agg(F.count_distinct("query_id").alias("questions"), (F.count_if("found") >= 0.9 * F.count("*")).alias("enough"))
+    index = ivf.InvertedFile.build(v)
+    held = spark.read.parquet(f"{index.path}/codes").select(F.explode("ids").alias("id")).distinct().withColumn("there", F.lit(True))
+    return v.select("id").join(held, "id", "left").groupBy((F.col("id") % 50 == 0).alias("asked")).agg(F.count("*").alias("vectors"), F.count_if("there").alias("indexed"))
 
 
 @query()

@@ -24,9 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[0]}"
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def keep(df: DataFrame, tag: str = "kept") -> DataFrame:
     """``df`` as written to the shared folder and read again: cuts lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -88,18 +88,6 @@ def test_top_k_plans_use_a_bounded_sort(spark):
     assert "TakeOrderedAndProject" in vector.top_k(v, [1.0], 3)._jdf.queryExecution().executedPlan().toString()
 
 
-def test_cells_reach_recall(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(0)
-    rows = [(i, (rng.normal(0, 0.1, 8) + np.eye(8)[i % 8] * 3).tolist()) for i in range(400)]
-    v = spark.createDataFrame(rows, "id long, embedding array<float>")
-    q = rows[3][1]
-    exact = {r.id for r in vector.top_k(v, q, 10).collect()}
-    near = {r.id for r in vector.CellIndex(v, cells=8).top_k(q, 10, probes=3).collect()}
-    assert len(exact & near) >= 9
-
-
 def test_an_index_that_grew_equals_one_built_anew(spark):
     rows = [(f"c{i}", f"red word{i % 3} blue{i} common") for i in range(8)] + [("c8", ""), ("c9", None)]
     c = corpus(spark, rows)
