@@ -21,16 +21,13 @@ WIDTH, SHARE = 5, 0.8
 HELD_WINDOWS = 2_000_000
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 _UNITS = "km|cm|mm|m|miles?|feet|ft|inch(?:es)?|kg|g|mg|lbs?|pounds?|tons?|litres?|liters?|l|ml|hours?|hrs?|h|minutes?|min|seconds?|sec|s|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?|mph|kmh|watts?|kw|volts?"
-#: What each placeholder replaces, in this order.  A name is a run of capitalised words, a sentence's first word among
+#: What placeholders replace: a name, a unit after a digit, a number.  A name is a run of capitalised words, a sentence's first word among
 #: them: it may be a name, and as a value it is compared all the same.  Scripts without case have no names.
-_PLACES = (
-    (NAME, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])(?: \p{Lu}\p{Ll}+(?![\p{L}\p{N}]))*"),
-    (UNIT, rf"(?<=\d ?)(?:{_UNITS})(?![\p{{L}}\p{{N}}])"),
-    (NUMBER, r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"),
-)
-_BREAKS = rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}]+"
-#: In texts kept with their values, a value follows its placeholder up to this mark.
+_PLACES = rf"((?<![\p{{L}}\p{{N}}])\p{{Lu}}\p{{Ll}}+(?![\p{{L}}\p{{N}}])(?: \p{{Lu}}\p{{Ll}}+(?![\p{{L}}\p{{N}}]))*)|((?<=\d ?)(?:{_UNITS})(?![\p{{L}}\p{{N}}]))|(\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)*)"
+#: A value is written between the marks of its kind and this one, all in one pass, so that no search runs past a value.
 _END = "\ue003"
+_MARKED = rf" {NAME}$1{UNIT}$2{NUMBER}$3{_END} "
+_TOKEN = rf"{NAME}[^{_END}]*{_END}|[\p{{L}}\p{{N}}]+"
 
 
 def _plain(text: Column) -> Column:
@@ -43,23 +40,19 @@ def raw_tokens(text: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.lower(_plain(text)), r"[^\p{L}\p{N}]+"), lambda x: x != ""), " "), F.lit(" "))
 
 
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.regexp_replace(_plain(text), _PLACES, _MARKED), F.lit(_TOKEN), F.lit(0))
+
+
 def template(text: Column) -> Column:
     """The template's tokens, lower case, placeholders in place of values."""
-    t = _plain(text)
-    for mark, pattern in _PLACES:
-        t = F.regexp_replace(t, pattern, f" {mark} ")
-    return F.filter(F.split(F.lower(t), _BREAKS), lambda x: x != "")
+    kind = lambda x: F.when(~x.startswith(NAME), F.lower(x)).when(x.startswith(NAME + UNIT + NUMBER), NUMBER).when(x.startswith(NAME + UNIT), UNIT).otherwise(NAME)
+    return F.transform(_tokens(text), kind)
 
 
 def values(text: Column) -> Column:
     """For each token of ``template(text)`` the value its placeholder replaced, null for other tokens."""
-    t = _plain(text)
-    for mark, pattern in _PLACES:
-        # A value already marked is out of the later patterns' reach: each looks at what is between marks.
-        inner = rf"{NUMBER}[^{_END}]*{_END}|{NAME}[^{_END}]*{_END}|{UNIT}[^{_END}]*{_END}"
-        t = F.regexp_replace(t, rf"({inner})|({pattern})", f"$1 {mark}$2{_END} ") if mark == NAME else F.regexp_replace(t, rf"(?<![{NUMBER}{NAME}{UNIT}])(?:{pattern})(?![^{NUMBER}{NAME}{UNIT}]*{_END})", f" {mark}$0{_END} ")
-    token = rf"[{NUMBER}{NAME}{UNIT}][^{_END}]*{_END}|[\p{{L}}\p{{N}}]+"
-    return F.transform(F.regexp_extract_all(F.lower(t), F.lit(token), F.lit(0)), lambda x: F.when(x.endswith(_END), F.substring(x, 2, 2**31 - 1)))
+    return F.transform(_tokens(text), lambda x: F.when(x.startswith(NAME), F.lower(F.translate(x, NUMBER + NAME + UNIT + _END, ""))))
 
 
 def windows(tokens: Column) -> Column:
@@ -75,13 +68,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
 
-def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, window, of): each item's distinct windows with at least two plain tokens, and their number."""
-    placed = benchmark.select("item_id", template(F.col("text")).alias("t"))
-    each = placed.select("item_id", "t", F.posexplode(windows(F.col("t"))).alias("at", "window"))
+def numbered(benchmark: DataFrame) -> DataFrame:
+    """(i, item_id, text): each distinct row with a number of its own, as item_ids may be null or repeat."""
+    return benchmark.select("item_id", "text").distinct().withColumn("i", F.monotonically_increasing_id())
+
+
+def benchmark_windows(items: DataFrame) -> DataFrame:
+    """(i, window, of): each item's distinct windows with at least two plain tokens, and their number."""
+    placed = items.select("i", template(F.col("text")).alias("t"))
+    each = placed.select("i", "t", F.posexplode(windows(F.col("t"))).alias("at", "window"))
     plain = F.size(F.filter(F.slice("t", F.col("at") + 1, WIDTH), lambda x: ~x.isin(NUMBER, NAME, UNIT)))
-    own = each.where(plain >= 2).select("item_id", "window").distinct()
-    return own.join(own.groupBy("item_id").agg(F.count("*").alias("of")), "item_id")
+    own = each.where(plain >= 2).select("i", "window").distinct()
+    return own.join(own.groupBy("i").agg(F.count("*").alias("of")), "i")
 
 
 def _windows_as_text(tokens: Column) -> Column:
@@ -93,7 +91,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, he
 
     A document leaks an item if it has at least ``share`` of its windows, and at least
     ``share`` of the item's placeholder values stand for one value each in the document, and that for no other, or in one
-    occurrence of the item in it.  Rows of one doc_id and text are one document; text_key is the text's hash.  Items without
+    occurrence of the item in it.  Rows of one doc_id and text are one document; text_key is the text's hash.  Rows of the
+    benchmark that differ in item_id or text are items by themselves, also without item_id; rows repeated whole are one.  Items without
     windows of two plain tokens are leaked where their words, two or more, stand in a document in a row; they have no
     windows and slots.  An item of one word, null or empty is no passage and matches nothing.  Very long texts are read
     whole; other columns are not read, whatever their names.  No documents or no items, no rows.
@@ -103,30 +102,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, he
 
 
 def _contaminated(docs: DataFrame, benchmark: DataFrame, share: float, held_windows: int) -> DataFrame:
-    own = save(benchmark_windows(benchmark), "bench")
+    bench = save(numbered(benchmark), "bench-items")
+    own = save(benchmark_windows(bench), "bench")
     small = own.count() <= held_windows
     held = (lambda df: F.broadcast(df)) if small else (lambda df: df)  # checked: see HELD_WINDOWS
     placed = _keyed(docs).select("doc_id", "text_key", template(F.col("text")).alias("t"))
     each = placed.select("doc_id", "text_key", F.explode(windows(F.col("t"))).alias("window"))
-    shared = each.join(held(own), "window").groupBy("doc_id", "text_key", "item_id", "of", "window").agg(F.lit(1).alias("one"))
-    pairs = shared.groupBy("doc_id", "text_key", "item_id", "of").agg(F.count("*").alias("n")).where(F.col("n") >= share * F.col("of"))
-    pairs = save(pairs.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("item_id").alias("i"), "of"), "leaks-hashed")
+    shared = each.join(held(own), "window").groupBy("doc_id", "text_key", "i", "of", "window").agg(F.lit(1).alias("one"))
+    pairs = shared.groupBy("doc_id", "text_key", "i", "of").agg(F.count("*").alias("n")).where(F.col("n") >= share * F.col("of"))
+    pairs = save(pairs.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "i", "of"), "leaks-hashed")
     texts = save(_texts(docs, pairs), "leaks-texts")
-    items = benchmark.select(F.col("item_id").alias("i"), template(F.col("text")).alias("ti"), values(F.col("text")).alias("vi")).join(pairs.select("i").distinct(), "i", "left_semi")
-    items = save(items.dropDuplicates(["i"]), "leaks-items")
+    items = bench.select("i", template(F.col("text")).alias("ti"), values(F.col("text")).alias("vi"))
+    items = save(items.join(pairs.select("i").distinct(), "i", "left_semi"), "leaks-items")
     pairs = save(_verified(pairs, texts, items).where(F.col("n_shared") >= share * F.col("of")), "leaks")
     slots = _slots(texts, items, pairs)
     p, s = pairs.alias("p"), slots.alias("s")
     out = p.join(s, F.expr("p.d <=> s.d AND p.k = s.k AND p.i = s.i"), "left").select("p.*", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_steady", F.lit(0)).alias("n_steady"))
     judged = save(out, "leaks-judged")
     ok = F.col("n_steady") >= share * F.col("n_slots")
-    names = [F.col("d").alias("doc_id"), F.col("k").alias("text_key"), F.col("i").alias("item_id"), F.col("of").alias("n_windows"), "n_shared", "n_slots", "n_steady"]
+    names = [F.col("d").alias("doc_id"), F.col("k").alias("text_key"), "i", F.col("of").alias("n_windows"), "n_shared", "n_slots", "n_steady"]
     crossed = judged.where(~ok).drop("n_slots", "n_steady")
     c, b = crossed.alias("c"), _occurrences(texts, items, crossed, share).alias("b")
     again = c.join(b, F.expr("c.d <=> b.d AND c.k = b.k AND c.i = b.i")).select("c.*", "b.n_slots", "b.n_steady")
     none = F.lit(0).cast("long")
-    short = _short(docs, benchmark, own).select("doc_id", "text_key", "item_id", none.alias("n_windows"), none.alias("n_shared"), none.alias("n_slots"), none.alias("n_steady"))
-    return judged.where(ok).select(*names).union(again.select(*names)).union(short)
+    short = _short(docs, bench, own).select("doc_id", "text_key", "i", none.alias("n_windows"), none.alias("n_shared"), none.alias("n_slots"), none.alias("n_steady"))
+    found = judged.where(ok).select(*names).union(again.select(*names)).union(short)
+    return found.join(bench.select("i", "item_id"), "i").select("doc_id", "text_key", "item_id", "n_windows", "n_shared", "n_slots", "n_steady")
 
 
 def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -150,23 +151,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame
     return _met(pairs, texts, items).select("d", "k", "i", "of", F.size(F.array_intersect(own, _windows_as_text(F.col("td")))).cast("long").alias("n_shared"))
 
 
-def _short(docs: DataFrame, benchmark: DataFrame, own: DataFrame) -> DataFrame:
-    """(doc_id, text_key, item_id) of items without windows, two words at least, that stand in a document whole.
+def _short(docs: DataFrame, bench: DataFrame, own: DataFrame) -> DataFrame:
+    """(doc_id, text_key, i) of items without windows, two words at least, that stand in a document whole.
 
     Joined by the hash of their first two words, then compared as text.
     """
-    rest = benchmark.join(own.select("item_id").distinct(), "item_id", "left_anti").select("item_id", raw_tokens(F.col("text")).alias("words"))
+    rest = bench.join(own.select("i").distinct(), "i", "left_anti").select("i", raw_tokens(F.col("text")).alias("words"))
     first = lambda words: F.xxhash64(F.get(words, F.lit(0)), F.get(words, F.lit(1)))
-    rest = rest.withColumn("w", F.split(F.trim("words"), " ")).where(F.size("w") >= 2).select("item_id", "words", first(F.col("w")).alias("pair"))
-    rest = save(rest.distinct(), "bench-short")
+    rest = rest.withColumn("w", F.split(F.trim("words"), " ")).where(F.size("w") >= 2).select("i", "words", first(F.col("w")).alias("pair"))
+    rest = save(rest, "bench-short")
     if rest.isEmpty():
-        return rest.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(0).cast("long").alias("text_key"), "item_id")
+        return rest.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(0).cast("long").alias("text_key"), "i")
     texts = _keyed(docs).select("doc_id", "text_key", raw_tokens(F.col("text")).alias("theirs")).withColumn("w", F.split(F.trim("theirs"), " "))
     pairs = F.when(F.size("w") >= 2, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1))))).otherwise(F.array().cast("array<bigint>"))
     small = rest.limit(HELD_WINDOWS + 1).count() <= HELD_WINDOWS
     held = F.broadcast(rest) if small else rest  # checked: see HELD_WINDOWS
     met = texts.select("doc_id", "text_key", "theirs", F.explode(pairs).alias("pair")).join(held, "pair")
-    return met.where(F.contains("theirs", "words")).select("doc_id", "text_key", "item_id").distinct()
+    return met.where(F.contains("theirs", "words")).select("doc_id", "text_key", "i").distinct()
 
 
 def _steady(each: DataFrame, *keys: str) -> DataFrame:
@@ -189,10 +190,15 @@ def _occurrences(texts: DataFrame, items: DataFrame, pairs: DataFrame, share: fl
     theirs = p.join(t, F.expr("p.d <=> t.d AND p.k = t.k")).select("p.d", "p.k", F.posexplode(_windows_as_text(F.col("td"))).alias("p", "window"))
     met = theirs.join(mine.where(plain >= 2).select("i", "q", "window"), "window").select("d", "k", "i", "window", (F.col("p") - F.col("q")).alias("at"))
     places = met.distinct().groupBy("d", "k", "i", "at").agg(F.count("*").alias("n"))
-    w, p = pairs.alias("w"), places.alias("p")
-    found = save(w.join(p, F.expr("w.d <=> p.d AND w.k = p.k AND w.i = p.i")).where(F.col("p.n") >= share * F.col("w.of")).select("w.d", "w.k", "w.i", "p.at"), "leaks-places")
-    slot = F.transform("vi", lambda v, q: F.struct(v.alias("mine"), F.when(F.get("td", F.col("at") + q) == F.get("ti", q), F.get("vd", F.col("at") + q)).alias("theirs")))
-    slots = _met(found, texts, items).select("d", "k", "i", "at", F.explode(slot).alias("z")).where("z.mine IS NOT NULL AND z.theirs IS NOT NULL").select("d", "k", "i", "at", "z.mine", "z.theirs")
+    w, o = pairs.alias("w"), places.alias("o")
+    found = save(w.join(o, F.expr("w.d <=> o.d AND w.k = o.k AND w.i = o.i")).where(F.col("o.n") >= share * F.col("w.of")).select("w.d", "w.k", "w.i", "o.at"), "leaks-places")
+    # Values are rows that are joined by their places: no array goes along with an offset.
+    held = lambda df, t, v, *keys: df.select(*keys, F.posexplode(F.arrays_zip(F.col(t).alias("t"), F.col(v).alias("v"))).alias("place", "z")).where("z.v IS NOT NULL").select(*keys, "place", "z.t", "z.v")
+    wanted = found.join(held(items, "ti", "vi", "i"), "i").select("d", "k", "i", "at", (F.col("at") + F.col("place")).alias("place"), "t", F.col("v").alias("mine")).alias("w")
+    some = found.select("d", "k").distinct().alias("p")
+    others = some.join(t, F.expr("p.d <=> t.d AND p.k = t.k")).select("p.d", "p.k", "td", "vd")
+    others = held(others, "td", "vd", "d", "k").withColumnRenamed("v", "theirs").alias("o")
+    slots = wanted.join(others, F.expr("w.d <=> o.d AND w.k = o.k AND w.place = o.place AND w.t = o.t")).select("w.d", "w.k", "w.i", "w.at", "w.mine", "o.theirs")
     one = _steady(slots, "d", "k", "i", "at").where(F.col("n_steady") >= share * F.col("n_slots"))
     best = one.groupBy("d", "k", "i").agg(F.max(F.struct(F.col("n_steady"), -F.col("at"), F.col("n_slots"))).alias("b"))
     return best.select("d", "k", "i", F.col("b.n_slots").alias("n_slots"), F.col("b.n_steady").alias("n_steady"))

@@ -1,5 +1,7 @@
 """Leaks whose template windows stand at several places."""
 
+from pyspark.sql import functions as F
+
 from tessera.llm import decontaminate
 
 
@@ -15,3 +17,23 @@ def test_repeated_windows_are_compared_by_place(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
     assert got == {(1, 1), (2, 2), (3, 2), (None, 1)}
     assert {r.doc_id for r in decontaminate.clean(docs, items).collect()} == {4, 5}
+
+
+def test_items_are_rows(spark):
+    """Equal and missing item_ids: each text is found by itself; a row repeated whole is one item."""
+    one = "When the seventh trader counts 12 barrels of oil, how many barrels remain after selling three of them?"
+    two = "Which of the northern harbours froze in 1740 and for how many weeks did the ice then hold?"
+    short = "quiet yellow"
+    items = spark.createDataFrame([(7, one), (7, two), (7, one), (None, two), (None, short)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"a {one} b"), (2, f"c {two} d"), (3, "a quiet yellow door")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id or 0) for r in decontaminate.contaminated(docs, items).collect())
+    assert got == [(1, 7), (2, 0), (2, 7), (3, 0)]
+
+
+def test_placeholders_are_marked_in_one_pass(spark):
+    text = "Anna Smith ran 5km and 12.5 miles, x5km h2o; 3/4 m of Bob's 7 kg5 10,000.5 £ ÉTÉ Été ½ l"
+    got = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(decontaminate.template(F.col("t")).alias("t"), decontaminate.values(F.col("t")).alias("v")).collect()
+    n, a, u = decontaminate.NUMBER, decontaminate.NAME, decontaminate.UNIT
+    assert got[0].t == [a, "ran", n, u, "and", n, u, "x", n, u, "h", n, "o", n, u, "of", a, "s", n, "kg", n, n, "été", a, "½", "l"]
+    assert [v for v in got[0].v if v] == ["anna smith", "5", "km", "12.5", "miles", "5", "km", "2", "3/4", "m", "bob", "7", "5", "10,000.5", "été"]
+    assert len(got[0].v) == len(got[0].t) and got[1].t == got[2].t == []
