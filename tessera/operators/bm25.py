@@ -49,6 +49,17 @@ def _raw(terms: DataFrame, sizes: DataFrame) -> DataFrame:
     return terms.crossJoin(F.broadcast(sizes)).withColumn("raw_idf", raw).drop("n_docs", "n_tokens")  # one row
 
 
+def wanted_terms(questions: DataFrame) -> DataFrame:
+    """(query_id, term, times)."""
+    return questions.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+
+
+def part_score(tf: Column, dl: Column, settings: Settings) -> Column:
+    """What a term adds to a chunk's score, with times, idf and avgdl among the columns; it rises with tf and falls with dl."""
+    k1, b = settings.k1, settings.b
+    return F.col("times") * F.col("idf") * tf * F.lit(k1 + 1.0) / (tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * dl / F.col("avgdl")))
+
+
 class Bm25Index:
     """Tables of a corpus (chunk_id, content), computed when they are asked for and then written once."""
 
@@ -120,10 +131,15 @@ class Bm25Index:
         """(term, df, idf) of the whole vocabulary."""
         return self._floored(_raw(self.terms, self.sizes)).select("term", "df", "idf")
 
+    def weights(self, wanted: DataFrame, terms: DataFrame, sizes: DataFrame) -> tuple[DataFrame, int, float]:
+        """``wanted`` terms with df, idf and avgdl; their number, and the least idf before it is floored."""
+        raw = keep(_raw(terms.join(held(wanted, HELD_TERMS), "term"), sizes), "bm25-weights")
+        n, least = raw.agg(F.count("*"), F.min("raw_idf")).first()
+        return (self._floored(raw) if n and least < 0 else raw.withColumn("idf", F.col("raw_idf"))), n, least
+
     def scores(self, questions: DataFrame) -> DataFrame:
         """(query_id, chunk_id, bm25_score) of chunks that share a term; repeated terms count each time."""
-        k1, b = self.settings.k1, self.settings.b
-        wanted = questions.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+        wanted = wanted_terms(questions)
         found = wanted.select("term").distinct().limit(LITERAL_TERMS + 1).toPandas()["term"].tolist()
         if len(found) > LITERAL_TERMS:
             postings, terms, sizes = self.postings, self.terms, self.sizes
@@ -133,19 +149,19 @@ class Bm25Index:
             own = keep(self.forward.select("chunk_id", "dl", F.filter("t", lambda x: x.isin(found)).alias("t")), "bm25-asked")
             postings, terms = _postings(own), own.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
             sizes = _sizes(own, F.count("*"), F.sum("dl"))
-        raw = keep(_raw(terms.join(held(wanted, HELD_TERMS), "term"), sizes), "bm25-weights")
-        n, least = raw.agg(F.count("*"), F.min("raw_idf")).first()
-        weights = self._floored(raw) if n and least < 0 else raw.withColumn("idf", F.col("raw_idf"))
+        weights, n, _ = self.weights(wanted, terms, sizes)
         hit = postings.join(F.broadcast(weights) if n <= HELD_TERMS else weights, "term")
-        part = F.col("times") * F.col("idf") * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-        return hit.groupBy("query_id", "chunk_id").agg(exact_round(F.sum(part), 6).alias("bm25_score"))
+        return hit.groupBy("query_id", "chunk_id").agg(exact_round(F.sum(part_score(F.col("tf"), F.col("dl"), self.settings)), 6).alias("bm25_score"))
 
     def top_k(self, questions: DataFrame, k: int | None = None) -> DataFrame:
         """(query_id, chunk_id, bm25_score, rank) for every question, rank from 1."""
         k = k or self.settings.bm25_top_k
         questions = questions.select("query_id", "query")
+        return self.ranked(questions, self.scores(questions), k)
+
+    def ranked(self, questions: DataFrame, matched: DataFrame, k: int) -> DataFrame:
+        """The k best of each question's ``matched`` (query_id, chunk_id, bm25_score), filled up by chunks that score 0."""
         by = Window.partitionBy("query_id").orderBy(F.col("bm25_score").desc(), "chunk_id")
-        matched = self.scores(questions)
         best = keep(matched.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k), "bm25-best")
         # Zero scores fill up where fewer than k chunks score 0 or more.  All m < k matches are among the best, so k + m ids hold enough others.
         good = best.groupBy("query_id").agg(F.count_if(F.col("bm25_score") >= 0).alias("good"), F.count("*").alias("m"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar as s
 from tessera.operators import cache, evaluate, fusion, ingest, ivf, quality, tables, trace, vector
+from tessera.operators.blockmax import BlockMaxIndex
 from tessera.operators.bm25 import Bm25Index
 from tessera.plans import adaptive, subqueries
 from tessera.plans.frames import SCORES_SQL, corpus, questions, scores, table, vectors
@@ -89,6 +90,20 @@ def bm25_batch_topk(spark, sf):
     return index(spark, sf).top_k(questions(spark, sf), 20).select("query_id", "chunk_id", "bm25_score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {BM25} SELECT query_id, chunk_id, bm25_score, rank FROM rk WHERE rank <= 20")
+def bm25_blockmax_topk(spark, sf):
+    """``bm25_batch_topk`` by blocks of postings, of which those below a question's threshold are skipped."""
+    top = BlockMaxIndex.build(index(spark, sf).written()).top_k(questions(spark, sf), 20)
+    return top.select("query_id", "chunk_id", "bm25_score", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def bm25_blockmax_skipped(spark, sf):
+    """Each question's blocks, those scored, and the share skipped."""
+    counts = BlockMaxIndex.build(index(spark, sf).written()).top_k_counted(questions(spark, sf), 20)[1]
+    return counts.withColumn("skipped", F.round(1 - F.col("scored") / F.col("blocks"), 4))
+
+
 @query(f"""WITH alld AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 10, text FROM documents WHERE doc_id + 10 NOT IN (SELECT doc_id FROM documents)),
 tok AS (SELECT doc_id, {TOK.format('text')} AS t FROM alld), corp AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
 raw AS (SELECT term, ln(((SELECT n FROM corp) - count(*) + 0.5e0) / (count(*) + 0.5e0)) AS raw_idf FROM (SELECT DISTINCT doc_id, unnest(t) AS term FROM tok) GROUP BY 1)
