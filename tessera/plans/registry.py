@@ -12,6 +12,8 @@ from tessera.operators.bm25 import Bm25Index
 from tessera.plans import adaptive, subqueries
 from tessera.plans.frames import SCORES_SQL, corpus, questions, scores, table, vectors
 from tessera.sources import files, providers
+from tessera.storage import new_path
+from tessera.streaming import answers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -567,6 +569,22 @@ def positional_zip(spark, sf):
     return subqueries.zipped(b, "word", "size").withColumn("k", F.col("k").cast("long"))
 
 
+CACHE_TTL = 7_200
+
+
+@query(f"""WITH e AS (SELECT *, event_type = 'signup' AS put FROM events),
+x AS (SELECT event_id AS seq, user_id, put, ts, max(CASE WHEN put THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, NOT put, event_id ROWS UNBOUNDED PRECEDING) AS created FROM e),
+h AS (SELECT *, NOT put AND created IS NOT NULL AND ts < created + INTERVAL {CACHE_TTL} SECOND AS hit FROM x)
+SELECT user_id::VARCHAR AS cache_key, seq, hit, CASE WHEN hit THEN count_if(hit) OVER (PARTITION BY user_id, created ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)::BIGINT END AS hit_count FROM h WHERE NOT put""")
+def cached_answer_hits(spark, sf):
+    """Events as a stream of answers put under a user's key (signups) and asked for (all others), two hours to live: hits and their counts."""
+    e = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet")
+    asked = e.select(F.col("user_id").cast("string").alias("cache_key"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "signup", "put").otherwise("get").alias("kind"), F.lit("a").alias("answer"))
+    path = new_path(spark, "answers")
+    answers.run(answers.answers(asked, CACHE_TTL), path, f"{path}-checkpoint")
+    return spark.read.parquet(path).where("kind = 'get'").select("cache_key", "seq", "hit", "hit_count")
+
+
 PAGES = f"""pages_text AS (SELECT page_id AS doc_id, coalesce(url, '') AS url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' ') AS title,
   trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS text FROM pages),
 pages_kept AS (SELECT * FROM pages_text WHERE text <> ''), {BM25.replace('FROM documents', 'FROM pages_kept')}"""
