@@ -13,7 +13,7 @@ from tessera.plans import adaptive, subqueries
 from tessera.plans.frames import SCORES_SQL, corpus, questions, scores, table, vectors
 from tessera.sources import files, providers
 from tessera.storage import new_path
-from tessera.streaming import answers
+from tessera.streaming import answers, sink
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -585,6 +585,16 @@ def cached_answer_hits(spark, sf):
     return spark.read.parquet(path).where("kind = 'get'").select("cache_key", "seq", "hit", "hit_count")
 
 
+@query("SELECT user_id::VARCHAR AS session_id, event_id::INT AS step, event_type AS node_name, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'done' END AS status, value AS duration_ms FROM events")
+def progress_log(spark, sf):
+    """Events as the progress of sessions, streamed into the sink and read back by its commits."""
+    e = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet")
+    rows = e.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").cast("int").alias("step"), F.col("event_type").alias("node_name"), F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("status"), F.col("value").alias("duration_ms"))
+    path = new_path(spark, "progress")
+    sink.progress(rows, path, f"{path}-checkpoint").awaitTermination()
+    return sink.events(spark, path).select(*rows.columns)
+
+
 PAGES = f"""pages_text AS (SELECT page_id AS doc_id, coalesce(url, '') AS url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' ') AS title,
   trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS text FROM pages),
 pages_kept AS (SELECT * FROM pages_text WHERE text <> ''), {BM25.replace('FROM documents', 'FROM pages_kept')}"""

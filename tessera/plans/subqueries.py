@@ -10,7 +10,7 @@ from tessera.functions.scalar import exact_round
 from tessera.operators.bm25 import Bm25Index
 from tessera.operators.fusion import rerank, rrf
 from tessera.operators.vector import batch_top_k
-from tessera.sources.providers import Embedder, Provider, embed_distinct
+from tessera.sources.providers import Embedder, OverlapReranker, Provider, Reranker, embed_distinct
 from tessera.storage import keep
 
 
@@ -26,7 +26,7 @@ def retrieve(index: Bm25Index, vectors: DataFrame, asked: DataFrame, embedder: E
     return rrf(words, near, s.rrf_k).select("query_id", "chunk_id", "bm25_score", "vector_score", "rank")
 
 
-def run_sub_queries(index: Bm25Index, vectors: DataFrame, corpus: DataFrame, subs: DataFrame, embedder: Embedder, provider: Provider, s: Settings = DEFAULTS) -> DataFrame:
+def run_sub_queries(index: Bm25Index, vectors: DataFrame, corpus: DataFrame, subs: DataFrame, embedder: Embedder, provider: Provider, s: Settings = DEFAULTS, reranker: Reranker | None = None) -> DataFrame:
     """(query_id, sub_idx, sub_query, strategy, answer, chunks_used, top_chunk_score, success) of each row of
     ``subs`` (query_id, sub_idx, sub_query, strategy).
 
@@ -36,7 +36,7 @@ def run_sub_queries(index: Bm25Index, vectors: DataFrame, corpus: DataFrame, sub
     asked = keep(subs.withColumn("key", key), "sub-asked")
     plain = asked.select(F.col("key").alias("query_id"), F.col("sub_query").alias("query"), "strategy")
     found = retrieve(index, vectors, plain, embedder, s).join(corpus.select("chunk_id", "source", "content"), "chunk_id").join(plain.select("query_id", "query"), "query_id")
-    best = rerank(found, s.sub_query_rerank_k).join(corpus.select("chunk_id", "source", "content"), "chunk_id")
+    best = rerank(found, s.sub_query_rerank_k, (reranker or OverlapReranker()).score(F.col("query"), F.col("content"))).join(corpus.select("chunk_id", "source", "content"), "chunk_id")
     item = F.struct("post_rerank_position", "chunk_id", "content", "source", "rerank_score")
     used = best.groupBy(F.col("query_id").alias("key")).agg(F.array_sort(F.collect_list(item)).alias("chunks_used"))
     out = asked.join(used, "key", "left")

@@ -39,13 +39,3 @@ def rate_counts(events: DataFrame, key: str, at: str, window: str = "1 minute",
 def unseen(stream: DataFrame, key: str, at: str, ttl: str = "7 days") -> DataFrame:
     """Each key once within its time to live: deduplication state is dropped after it."""
     return stream.withWatermark(at, ttl).dropDuplicatesWithinWatermark([key])
-
-
-def progress(stream: DataFrame, send, checkpoint: str) -> StreamingQuery:
-    """Hand each new trace row to ``send`` in step order, one batch at a time."""
-
-    def emit(batch: DataFrame, _: int) -> None:
-        for row in batch.orderBy("step").toLocalIterator():
-            send(row.asDict())
-
-    return stream.writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
