@@ -1,20 +1,23 @@
 """One document of each group of near copies, by wide SimHash fingerprints on a grid of segment popcounts.
 
 A text's fingerprint has ``WORDS`` words of 64 bits.  Two-bit segments are mapped to their bit counts; the counts
-of ``RUN`` neighbouring segments are a cell of the grid, and a fingerprint lies in ``CELLS`` of them.  Texts that share
+of some of the segments are a cell of the grid, and a fingerprint lies in many cells, each of its own choice of segments.  Texts that share
 a cell and whose first ``CHECK`` words differ in few enough bits are linked: the Manhattan distance of the grid
 points of the first two words, which never exceeds the bits that differ, is compared first, then the bits are.
 A share p of differing bits stands for the cosine cos(pi p) of the sets of shingles, and that for the
 similarity cos / (2 - cos) of sets of one size.
 
-A pair of the least similarity 0.8 shares a cell with probability 0.88, one of 0.85 with 0.96, of 0.9 with 0.997;
-the bits keep nine in ten of the first, nearly all of the others, and some pairs that are less alike.
+The grid follows the number of texts: a cell takes so many segments that a text meets about ``MATES`` unrelated ones in
+each, and there are so many cells that a pair of the least similarity shares one with a probability of 0.95.  So
+comparisons grow with N^1.3, not with a square.  The bits keep 95 in a hundred pairs of just that similarity, nearly
+all that are more alike, and some that are less.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, floor, pi, sqrt
+from functools import lru_cache
+from math import acos, ceil, floor, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,11 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tessera.llm.common import components, free_name, save, temporary
 
-CHECK, RUN, CELLS = 4, 11, 64
-WORDS = CHECK + -(-CELLS * RUN // 32)
+#: Words that are compared, and words whose segments make the cells.
+CHECK, GRID = 4, 16
+WORDS = CHECK + GRID
+#: Unrelated texts that a text meets in a cell, and segments a cell at least.
+MATES, LEAST_RUN = 1000, 6
 #: Rows of a cell that are compared in one go, some 10 MB; of a fuller cell, blocks of so many rows are compared two by
 #: two.  Also the most overfull cells whose numbers are broadcast.
 HELD = 200_000
@@ -39,9 +45,28 @@ _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) for k in range
 
 def limit(similarity: float) -> int:
     """The most of the first words' bits that may differ: what is expected at the least similarity, and what
-    nine in ten pairs of just that similarity stay within."""
-    n, p = 64 * CHECK, acos(2 * similarity / (1 + similarity)) / pi
-    return floor(n * p + 1.28 * sqrt(n * p * (1 - p)))
+    95 in a hundred pairs of just that similarity stay within."""
+    n, p = 64 * CHECK, _differing(similarity)
+    return floor(n * p + 1.645 * sqrt(n * p * (1 - p)))
+
+
+def _differing(similarity: float) -> float:
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def grid(texts: int, similarity: float) -> tuple[int, int]:
+    """(segments a cell, cells) for so many texts: counts of one segment agree by chance in three of eight pairs, and
+    in pairs of ``similarity`` where no bit differs or both do from unlike ones."""
+    p = _differing(similarity)
+    run = max(LEAST_RUN, ceil(log(max(1, texts) / MATES) / log(8 / 3)))
+    return run, ceil(3.3 / ((1 - p) ** 2 + p * p / 2) ** run)
+
+
+@lru_cache(8)
+def _choices(run: int, count: int) -> np.ndarray:
+    """The segments of each cell."""
+    rng = np.random.default_rng(11)
+    return np.stack([rng.permutation(32 * GRID)[:run] for _ in range(count)])
 
 
 def signature(text: str | None, size: int) -> bytes | None:
@@ -76,14 +101,14 @@ def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(low).astype(np.int64) + 2 * np.bitwise_count((x >> np.uint64(1)) & _LOW & ~low)
 
 
-def cells(words: np.ndarray) -> np.ndarray:
-    """The keys of the cells of each row of words, one a column."""
+def cells(words: np.ndarray, run: int, count: int) -> np.ndarray:
+    """The keys of the ``count`` cells of each row of words, one a column, each of ``run`` segments."""
     p = points(words[:, CHECK:])
-    counts = np.unpackbits(p.view(np.uint8).reshape(len(p), -1), axis=1, bitorder="little").reshape(len(p), -1, 2)
-    runs = (counts[:, : CELLS * RUN, 0] + 2 * counts[:, : CELLS * RUN, 1]).reshape(len(p), CELLS, RUN).astype(np.uint64)
-    key = np.arange(CELLS, dtype=np.uint64)[None].repeat(len(p), 0)
-    for k in range(RUN):
-        key = key * np.uint64(3) + runs[:, :, k]
+    bits = np.unpackbits(p.view(np.uint8).reshape(len(p), -1), axis=1, bitorder="little").reshape(len(p), -1, 2)
+    counts, chosen = bits[:, :, 0] + 2 * bits[:, :, 1], _choices(run, count)
+    key = np.arange(count, dtype=np.uint64)[None].repeat(len(p), 0)
+    for k in range(run):
+        key = key * np.uint64(3) + counts[:, chosen[:, k]]
     return key.view(np.int64)
 
 
@@ -148,19 +173,19 @@ def _words_of(column: pa.Array, n: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, n)
 
 
-def links(units: DataFrame, most: int, held: int | None = None) -> DataFrame:
-    """(a, b): links of ``units`` (uid, sig) that connect all that share a cell and differ in at most ``most`` bits."""
+def links(units: DataFrame, most: int, run: int, count: int, held: int | None = None) -> DataFrame:
+    """(a, b): links of ``units`` (uid, sig) that connect all that share one of ``count`` cells of ``run`` segments and differ in at most ``most`` bits."""
     held = held or HELD
     names = ["cell", "uid", "head"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, 2000):
-                part = batch.slice(s, 2000)
+            for s in range(0, batch.num_rows, 1000):
+                part = batch.slice(s, 1000)
                 w = _words_of(part.column(1), WORDS)
                 head = pa.array([bytes(x) for x in w[:, :CHECK]], pa.binary())
-                each = np.arange(len(w)).repeat(CELLS)
-                yield pa.RecordBatch.from_arrays([pa.array(cells(w).reshape(-1)), part.column(0).take(pa.array(each)), head.take(pa.array(each))], names)
+                each = np.arange(len(w)).repeat(count)
+                yield pa.RecordBatch.from_arrays([pa.array(cells(w, run, count).reshape(-1)), part.column(0).take(pa.array(each)), head.take(pa.array(each))], names)
 
     dealt = units.select("uid", "sig").mapInArrow(deal, "cell long, uid long, head binary")
     # Which cells are overfull is told by a 16th of the rows: it decides how a cell's rows are compared, not which.
@@ -222,16 +247,16 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     schema = StructType([StructField(f.name, f.dataType, True) for f in given.schema.fields] + [StructField(sig, BinaryType(), True)])
     with temporary(docs.sparkSession):
         rows = save(given.mapInArrow(sign, schema), "signed", kept=True)
-        first = _first(rows, rid, sig, limit(similarity))
+        first = _first(rows, rid, sig, similarity)
     none = rows.where(F.col(sig).isNull()).select(*docs.columns)
     return rows.join(first, rid, "left_semi").select(*docs.columns).union(none)
 
 
-def _first(rows: DataFrame, rid: str, sig: str, most: int) -> DataFrame:
+def _first(rows: DataFrame, rid: str, sig: str, similarity: float) -> DataFrame:
     """(rid): the first row of each group of near copies."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col(rid).alias("r"))
     units = rows.where(F.col(sig).isNotNull()).groupBy(F.col(sig).alias("sig")).agg(F.min(order).alias("first"))
     units = save(units.withColumn("uid", F.monotonically_increasing_id()), "units")
-    comp = components(links(units, most))
+    comp = components(links(units, limit(similarity), *grid(units.count(), similarity)))
     named = units.select("uid", "first").join(comp, F.col("uid") == F.col("id"), "left").select(F.coalesce("component", "uid").alias("component"), "first")
     return save(named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.r").alias(rid)), "firsts", kept=True)
