@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as s
-from tessera.operators import cache, evaluate, fusion, ingest, ivf, quality, tables, trace, vector
+from tessera.operators import cache, evaluate, fusion, ingest, ivf, keyed, quality, tables, trace, vector
 from tessera.operators.blockmax import BlockMaxIndex
 from tessera.operators.bm25 import Bm25Index
 from tessera.plans import adaptive, subqueries
@@ -595,6 +595,34 @@ def progress_log(spark, sf):
     return sink.events(spark, path).select(*rows.columns)
 
 
+_ORDERS = {"orders": ("o_orderkey", "o_orderkey bigint, o_custkey bigint, o_totalprice double")}
+
+
+def _orders_store(spark, sf):
+    """Orders put in by two transactions: two thirds of the keys, then all, with a raised price where the key is even."""
+    store = keyed.KeyedStore(spark, new_path(spark, "keyed"), _ORDERS, buckets=8)
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    with store.transaction() as tx:
+        tx.insert_ignore("orders", o.where("o_orderkey % 3 <> 0"))
+    with store.transaction() as tx:
+        raised = o.where("o_orderkey % 2 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1.0)
+        tx.upsert("orders", raised.withColumn("n", F.lit(2)).union(raised.select("o_orderkey", "o_custkey", F.lit(0.0), F.lit(1))), "n")
+        tx.insert_ignore("orders", o.withColumn("o_custkey", F.lit(-1).cast("long")))
+    return store
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 <> 0 AND o_orderkey % 3 = 0 THEN -1 ELSE o_custkey END AS o_custkey, o_totalprice::DOUBLE + CASE WHEN o_orderkey % 2 = 0 THEN 1e0 ELSE 0e0 END AS o_totalprice FROM orders")
+def keyed_merge(spark, sf):
+    """The last snapshot: inserts ignored where the key is there, the latest of each upserted key."""
+    return _orders_store(spark, sf).read("orders")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice::DOUBLE AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0")
+def keyed_snapshot(spark, sf):
+    """The first snapshot, read after the second was committed."""
+    return _orders_store(spark, sf).read("orders", 1)
+
+
 PAGES = f"""pages_text AS (SELECT page_id AS doc_id, coalesce(url, '') AS url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' ') AS title,
   trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS text FROM pages),
 pages_kept AS (SELECT * FROM pages_text WHERE text <> ''), {BM25.replace('FROM documents', 'FROM pages_kept')}"""
