@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,34 +48,39 @@ def clean_pages(pages: DataFrame) -> DataFrame:
 def chunks(docs: DataFrame, size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap, least: int = DEFAULTS.min_chunk_size) -> DataFrame:
     """Overlapping sentence-aligned chunks of (source, text), as (chunk_id, source, content, chunk_index, token_count).
 
-    A fold over each document's sentences: a sentence that would overflow ``size`` tokens closes
-    the chunk, and the next one opens with the longest run of its last sentences of at most
-    ``overlap`` tokens.  Chunks under ``least`` tokens are dropped and take no index.
+    A sentence that would overflow ``size`` tokens closes the chunk, and the next one opens with the longest run of its last
+    sentences of at most ``overlap`` tokens.  Chunks under ``least`` tokens are dropped and take no index.  Texts of any
+    length take time in proportion: bounds come from running sums of the sentences' tokens, and nothing is shuffled.
     """
-    count = lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda t: t != ""))
-    item = "struct<s:string,n:int>"
-    sents = F.transform(sentences(F.col("text")), lambda s: F.struct(s.alias("s"), count(s).alias("n")))
-    empty = F.struct(F.array().cast(f"array<{item}>").alias("now"), F.lit(0).alias("total"), F.array().cast(f"array<array<{item}>>").alias("done"))
-
-    def tail(now: Column) -> Column:
-        """The longest suffix within the overlap."""
-        start = F.struct(F.array().cast(f"array<{item}>").alias("own"), F.lit(0).alias("n"), F.lit(True).alias("open"))
-        step = lambda a, x: F.when(a["open"] & (a["n"] + x["n"] <= overlap), F.struct(F.concat(F.array(x), a["own"]).alias("own"), (a["n"] + x["n"]).alias("n"), F.lit(True).alias("open"))).otherwise(F.struct(a["own"].alias("own"), a["n"].alias("n"), F.lit(False).alias("open")))
-        return F.aggregate(F.reverse(now), start, step)
-
-    def take(a: Column, x: Column) -> Column:
-        over = (a["total"] + x["n"] > size) & (F.size(a["now"]) > 0)
-        t = tail(a["now"])
-        keep = F.struct(F.concat(a["now"], F.array(x)).alias("now"), (a["total"] + x["n"]).alias("total"), a["done"].alias("done"))
-        cut = F.struct(F.concat(t["own"], F.array(x)).alias("now"), (t["n"] + x["n"]).alias("total"), F.concat(a["done"], F.array(a["now"])).alias("done"))
-        return F.when(over, cut).otherwise(keep)
-
-    folded = docs.select("source", F.aggregate(sents, empty, take, lambda a: F.when(F.size(a["now"]) > 0, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"])).alias("c"))
-    made = F.filter(F.transform("c", lambda c: F.struct(F.array_join(F.transform(c, lambda x: x["s"]), " ").alias("content"), F.aggregate(c, F.lit(0), lambda n, x: n + x["n"]).alias("n"))), lambda c: c["n"] >= least)
-    each = folded.select("source", F.posexplode(made).alias("chunk_index", "c"))
+    count = F.transform("s", lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda t: t != "")))
+    cut = docs.select("source", sentences(F.col("text")).alias("s")).select("source", "s", _bounds(size, overlap, least)(count).alias("b"))
+    each = cut.select("source", F.posexplode(F.transform("b", lambda b: F.struct(F.array_join(F.transform(F.sequence(b["first"], b["last"]), lambda i: F.get("s", i)), " ").alias("content"), b["n"].alias("n")))).alias("chunk_index", "c"))
     return each.select(chunk_id(F.col("source"), F.col("chunk_index")).alias("chunk_id"), "source", F.col("c.content").alias("content"), "chunk_index", F.col("c.n").alias("token_count"))
 
 
+def _bounds(size: int, overlap: int, least: int):
+    """First and last sentence, and tokens, of each chunk of a text with so many tokens in each sentence."""
+
+    @F.pandas_udf("array<struct<first:int,last:int,n:int>>")
+    def run(counts: pd.Series) -> pd.Series:
+        out = []
+        for own in counts:
+            c = np.concatenate(([0], np.cumsum(own, dtype=np.int64)))  # tokens before each sentence, and all
+            after = np.searchsorted(c, c + size, "right") - 1  # past the last sentence that fits from each on
+            begin = np.searchsorted(c, c - overlap, "left")  # where the overlap before each begins
+            rows, new = [], 0
+            while new < len(own):
+                first = int(begin[new]) if new else 0
+                end = max(int(after[first]), new + 1)
+                if (n := int(c[end] - c[first])) >= least:
+                    rows.append((first, end - 1, n))
+                new = end
+            out.append(rows)
+        return pd.Series(out)
+
+    return run
+
+
 def previews(chunks_: DataFrame) -> DataFrame:
     return chunks_.select("chunk_id", preview(F.col("content")).alias("preview"))
 

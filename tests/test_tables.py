@@ -120,6 +120,22 @@ def test_ingest_stream_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(str(out)).count() == 2
 
 
+def test_chunks_of_a_long_text_take_time_in_proportion(spark):
+    import time
+
+    took = []
+    for n in (20_000, 200_000):  # one and ten megabytes
+        text = ". ".join(f"sentence {i} of eight words in a text" for i in range(n))
+        docs = spark.createDataFrame([("s", text)], "source string, text string")
+        ingest.chunks(docs.limit(0)).collect()
+        start = time.perf_counter()
+        got = ingest.chunks(docs).agg(F.count("*").alias("n"), F.max("token_count").alias("most"), F.min("chunk_index").alias("first")).first()
+        took.append(time.perf_counter() - start)
+        assert got.most <= 512 and got.first == 0 and abs(got.n - 8 * n / 448) < 0.01 * got.n + 2
+    print(took)
+    assert took[1] < 10 * took[0] + 10
+
+
 def test_rate_counts_accepts_zoneless_time(spark, tmp_path):
     df = spark.createDataFrame([("u", datetime(2026, 1, 1))], "u string, ts timestamp_ntz")
     df.write.parquet(str(tmp_path / "e"))
