@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as s
-from tessera.operators import cache, evaluate, fusion, ingest, ivf, keyed, quality, tables, trace, vector
+from tessera.operators import cache, evaluate, fusion, ingest, ivf, keyed, quality, sentences, tables, trace, vector
 from tessera.operators.blockmax import BlockMaxIndex
 from tessera.operators.bm25 import Bm25Index
 from tessera.plans import adaptive, subqueries
 from tessera.plans.frames import SCORES_SQL, corpus, questions, scores, table, vectors
 from tessera.sources import files, providers
-from tessera.storage import new_path
+from tessera.storage import keep, new_path
 from tessera.streaming import answers, sink
 
 QUERIES: dict = {}
@@ -595,6 +595,48 @@ def progress_log(spark, sf):
     return sink.events(spark, path).select(*rows.columns)
 
 
+BARE = "regexp_replace(lower({0}), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}.]+$', '', 'g')"
+TYPES = f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT unnest(w) AS token, unnest(list_append(w[2:], NULL)) AS after FROM w WHERE len(w) > 0),
+b AS (SELECT token, {BARE.format('token')} AS b, after, {BARE.format('after')} AS ab FROM t),
+k AS (SELECT token, regexp_replace(b, '\\.+$', '') AS type, regexp_matches(b, '(^|[^.])\\.$') AS dot, b, after, regexp_replace(ab, '\\.+$', '') AS nxt FROM b),
+c AS (SELECT type, count_if(dot)::BIGINT AS with_period, count_if(NOT dot)::BIGINT AS without FROM k GROUP BY type),
+s AS (SELECT sum(with_period)::DOUBLE AS dots, sum(with_period + without)::DOUBLE AS al FROM c),
+a AS (SELECT type, with_period, without, -2e0 * (with_period * ln(dots / al) + without * ln(greatest(1e0 - dots / al, 1e-12)) - with_period * ln(0.99e0) - without * ln(1e0 - 0.99e0))
+    * exp(-(length(type) - n)::DOUBLE) * (n + 1) * pow((length(type) - n)::DOUBLE, -without::DOUBLE) AS score
+  FROM (SELECT *, length(regexp_replace(type, '[^.]', '', 'g')) AS n FROM c), s WHERE with_period > 0 AND regexp_matches(type, '\\p{{L}}') AND NOT regexp_matches(type, '\\p{{N}}')),
+known AS (SELECT * FROM a WHERE score >= 0.3e0)"""
+_CLOSE = r"[\)\]\}\"''’”»]*$"
+
+
+@query(f"{TYPES} SELECT type, with_period, without, {rnd('score', 4)} AS score FROM known")
+def sentence_abbreviations(spark, sf):
+    """Types that nearly always end with a period, by their log-likelihood."""
+    found = sentences.abbreviations(table(spark, sf, "documents"))
+    return found.select("type", "with_period", "without", s.exact_round(F.col("score"), 4).alias("score"))
+
+
+@query(f"""{TYPES},
+e AS (SELECT k.nxt, count(*) AS n FROM k LEFT JOIN known ON known.type = k.type WHERE regexp_matches(k.token, '[.!?]{_CLOSE}') AND (known.type IS NULL OR NOT ends_with(k.b, '.')) GROUP BY k.nxt),
+f AS (SELECT nxt AS type, n::DOUBLE AS ab, (SELECT sum(n) FROM e)::DOUBLE AS a, (with_period + without)::DOUBLE AS b, (SELECT al FROM s) AS n FROM e JOIN c ON c.type = e.nxt WHERE regexp_matches(nxt, '\\p{{L}}')),
+l AS (SELECT *, b / n AS p, ab / a AS p1, (b - ab) / (n - a) AS p2 FROM f WHERE ab <= b AND n > a AND n * ab > a * b),
+m AS (SELECT *, -2e0 * ((ab * ln(p) + CASE WHEN a > ab THEN (a - ab) * ln(1e0 - p) ELSE 0e0 END) + (CASE WHEN b > ab THEN (b - ab) * ln(p) ELSE 0e0 END + CASE WHEN n - a > b - ab THEN ((n - a) - (b - ab)) * ln(1e0 - p) ELSE 0e0 END)
+  - (ab * ln(p1) + CASE WHEN a > ab THEN (a - ab) * ln(1e0 - p1) ELSE 0e0 END) - (CASE WHEN b > ab THEN (b - ab) * ln(p2) ELSE 0e0 END + CASE WHEN n - a > b - ab THEN ((n - a) - (b - ab)) * ln(1e0 - p2) ELSE 0e0 END)) AS score FROM l)
+SELECT type, ab::BIGINT AS at_start, b::BIGINT AS total, {rnd('score', 2)} AS score FROM m WHERE score >= 30e0""")
+def sentence_starters(spark, sf):
+    """Types that follow sentence ends more often than chance, by their log-likelihood."""
+    d = table(spark, sf, "documents")
+    found = sentences.starters(d, keep(sentences.abbreviations(d), "abbreviations"))
+    return found.select("type", "at_start", "total", s.exact_round(F.col("score"), 2).alias("score"))
+
+
+@query()
+def sentence_splits(spark, sf):
+    """Sentences of every document by the learned ends."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return sentences.Splitter.learn(d).split(d, "doc_id")
+
+
 _ORDERS = {"orders": ("o_orderkey", "o_orderkey bigint, o_custkey bigint, o_totalprice double")}
 
 
