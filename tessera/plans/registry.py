@@ -9,6 +9,7 @@ from tessera.functions import scalar as s
 from tessera.operators import cache, evaluate, fusion, ingest, ivf, keyed, quality, sentences, tables, trace, vector
 from tessera.operators.blockmax import BlockMaxIndex
 from tessera.operators.bm25 import Bm25Index
+from tessera.operators.interaction import LateInteraction
 from tessera.plans import adaptive, subqueries
 from tessera.plans.frames import SCORES_SQL, corpus, questions, scores, table, vectors
 from tessera.sources import files, providers
@@ -99,6 +100,14 @@ def bm25_blockmax_topk(spark, sf):
     return top.select("query_id", "chunk_id", "bm25_score", F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def rerank_late_interaction(spark, sf):
+    """The best five of each question's 20 passages by late interaction of their tokens."""
+    c, qs = corpus(spark, sf), questions(spark, sf)
+    found = keep(index(spark, sf).top_k(qs, 20).join(c.select("chunk_id", "content"), "chunk_id").join(qs, "query_id"), "found")
+    return fusion.rerank(found, 5, LateInteraction().score(F.col("query"), F.col("content")))
+
+
 @query()
 def bm25_blockmax_skipped(spark, sf):
     """Each question's blocks, those scored, and the share skipped."""
