@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as s
-from tessera.operators import cache, evaluate, fusion, ingest, ivf, keyed, quality, sentences, tables, trace, vector
+from tessera.operators import cache, evaluate, fusion, ingest, ivf, keyed, quality, runs, sentences, tables, trace, vector
 from tessera.operators.blockmax import BlockMaxIndex
 from tessera.operators.bm25 import Bm25Index
 from tessera.operators.interaction import LateInteraction
@@ -646,6 +646,15 @@ def sentence_splits(spark, sf):
     return sentences.Splitter.learn(d).split(d, "doc_id")
 
 
+@query("""SELECT event_type, n, value AS p95 FROM (SELECT event_type, value, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k FROM events WHERE value IS NOT NULL)
+WHERE k = least(floor(n * 0.95e0), n - 1)""")
+def runs_p95(spark, sf):
+    """Events of a user and type as a run: a sketch is kept for each, and each type's are merged."""
+    e = table(spark, sf, "events").select(F.concat_ws("/", "user_id", "event_type").alias("run"), "event_type", "value")
+    kept = keep(runs.sketches(e, "run", "value").withColumn("event_type", F.substring_index("run", "/", -1)), "sketches")
+    return runs.p95(kept, e.drop("event_type"), "run", "value", "event_type").withColumnRenamed("value", "p95")
+
+
 _ORDERS = {"orders": ("o_orderkey", "o_orderkey bigint, o_custkey bigint, o_totalprice double")}
 
 
