@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from tessera.llm.bitfilter import bit_filter, hit
 from tessera.llm.common import components, free_name, save, temporary
 
 #: Words that are compared, and words whose segments make the cells.
@@ -248,8 +249,10 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     with temporary(docs.sparkSession):
         rows = save(given.mapInArrow(sign, schema), "signed", kept=True)
         first = _first(rows, rid, sig, similarity)
-    none = rows.where(F.col(sig).isNull()).select(*docs.columns)
-    return rows.join(first, rid, "left_semi").select(*docs.columns).union(none)
+        gone = save(rows.where(F.col(sig).isNotNull()).select(rid).join(first, rid, "left_anti"), "copies", kept=True)
+        # A filter of the rows that go tells most others to stay where they are: only what it lets through is joined.
+        maybe = hit(bit_filter(gone, rid), F.col(rid))
+    return rows.where(~maybe).select(*docs.columns).union(rows.where(maybe).join(gone.hint("merge"), rid, "left_anti").select(*docs.columns))
 
 
 def _first(rows: DataFrame, rid: str, sig: str, similarity: float) -> DataFrame:
@@ -259,4 +262,4 @@ def _first(rows: DataFrame, rid: str, sig: str, similarity: float) -> DataFrame:
     units = save(units.withColumn("uid", F.monotonically_increasing_id()), "units")
     comp = components(links(units, limit(similarity), *grid(units.count(), similarity)))
     named = units.select("uid", "first").join(comp, F.col("uid") == F.col("id"), "left").select(F.coalesce("component", "uid").alias("component"), "first")
-    return save(named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.r").alias(rid)), "firsts", kept=True)
+    return save(named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.r").alias(rid)), "firsts")
