@@ -58,12 +58,19 @@ def strip_fence(text: Column) -> Column:
 
 
 def parse_score(raw: Column) -> Column:
-    """A critic's score: the number in a flat JSON object's score field, else the score of valid JSON, or, where
-    there is no valid JSON, the first number 0.x; clamped to 0..1, null if nothing is found."""
-    part = lambda pattern: F.nullif(F.regexp_extract(raw, pattern, 1), F.lit("")).try_cast("double")
+    """A critic's score: the number after a score key within the first flat object that has one, else the score of valid
+    JSON, or, where there is no valid JSON, the first number 0.x; clamped to 0..1, null if nothing is found.
+
+    Objects are what stands between an opening brace and the next closing one; of an object's score keys the last number counts.
+    """
+    closed = F.slice(F.split(raw, "[}]"), 1, F.greatest(F.size(F.split(raw, "[}]")) - 1, F.lit(0)))
+    inside = F.transform(F.filter(closed, lambda x: F.contains(x, F.lit("{"))), lambda x: F.substr(x, F.instr(x, F.lit("{"))))
+    numbers = F.transform(inside, lambda x: F.filter(F.transform(F.split(x, '"score"'), lambda y, k: F.when(k > 0, F.regexp_extract(y, "^\\s*:\\s*([0-9.]+)", 1)).otherwise("")), lambda n: n != ""))
+    first = F.get(F.filter(numbers, lambda n: F.size(n) > 0), F.lit(0))
+    stated = F.get(first, F.size(first) - 1).try_cast("double")
+    fraction = F.nullif(F.regexp_extract(raw, "0[.][0-9]+", 0), F.lit("")).try_cast("double")
     is_json = F.try_parse_json(raw).isNotNull() & (F.trim(raw) != "")
-    rest = F.when(is_json, F.get_json_object(raw, "$.score").try_cast("double")).otherwise(part(r"(0\.\d+)"))
-    value = F.coalesce(part(r'\{[^}]*"score"\s*:\s*([\d.]+)[^}]*\}'), rest)
+    value = F.coalesce(stated, F.when(is_json, F.get_json_object(raw, "$.score").try_cast("double")).otherwise(fraction))
     return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
