@@ -11,6 +11,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -90,12 +91,18 @@ def train_bags(words: list[str], docs: list[tuple[np.ndarray, np.ndarray]], labe
     docs_of = np.zeros(len(words), np.int64)
     for ids, _ in docs:
         docs_of[ids] += 1
+    # Counts by hash bound the n-grams' counts from above: only those that may be frequent are held as text.
+    by_hash = np.zeros(1 << 20, np.int64)
+    for w, n in zip(words, docs_of.tolist(), strict=True):
+        np.add.at(by_hash, [crc32(g.encode()) & 0xFFFFF for g in word_grams(w)], n)
+    often = (by_hash >= least_docs).tobytes()
     seen: Counter[str] = Counter()
     for w, n in zip(words, docs_of.tolist(), strict=True):
         for g in word_grams(w):
-            seen[g] += n
+            if often[crc32(g.encode()) & 0xFFFFF]:
+                seen[g] += n
     names = sorted(g for g, n in seen.items() if n >= least_docs)
-    del seen
+    del seen, by_hash, often
     at = {g: i for i, g in enumerate(names)}
     of_word, size = [], np.zeros(len(words), np.int64)
     for k, w in enumerate(words):
@@ -167,7 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     cut = np.cumsum(lists.value_lengths().to_numpy())[:-1]
     ids, times = (np.split(x.to_numpy().astype(np.int64), cut) for x in (coded.indices, got.column("times").chunk(0).flatten()))
     labels_of, names = got.column("toxic").to_numpy(), coded.dictionary.to_pylist()
-    del got, lists, coded
+    del got, lists, coded, once, counted
+    pa.default_memory_pool().release_unused()  # the driver goes on after training
     return train_bags(names, list(zip(ids, times, strict=True)), labels_of)
 
 
