@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import tidy
+
 FILTER_BITS = 27  # at most 2^27 bits, 16 MB
 _MULTIPLIER = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -25,6 +27,7 @@ def bit_filter(keys: DataFrame, column: str) -> bytes:
     bits = int(min(FILTER_BITS, max(16, np.ceil(np.log2(16 * n + 1)))))
     block = 1 << 16  # bits a block
 
+    @tidy
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, np.ndarray] = {}
         for b in batches:

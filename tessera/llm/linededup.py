@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, free_name, save, table
+from tessera.llm.common import SPACES, free_name, save, table, tidy
 from tessera.llm.cuckoo import CuckooFilter
 
 THRESHOLD = 10
@@ -61,6 +61,7 @@ def reference_counts(docs: DataFrame) -> DataFrame:
     Rows of one doc_id are one document; rows without doc_id are a document each.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n: Counter[bytes] = Counter()
@@ -69,6 +70,7 @@ def reference_counts(docs: DataFrame) -> DataFrame:
             n.pop(b"", None)
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["key", "n"])
 
+    @tidy
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -210,6 +212,7 @@ def dropped(docs: DataFrame, index: LineIndex, name: str, held_keys: int = HELD_
         shared = spark.sparkContext.broadcast((exact, held(blocks[0]) if blocks else {}))
 
         @F.pandas_udf(_RESULT)
+        @tidy
         def screened(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             exact, filters = shared.value
             screen = Screen(filters, shards)
@@ -229,6 +232,7 @@ def dropped(docs: DataFrame, index: LineIndex, name: str, held_keys: int = HELD_
     for block in blocks:
         shared = spark.sparkContext.broadcast(held(block))
 
+        @tidy
         def explode(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             screen = Screen(shared.value, shards)
             for batch in batches:
@@ -242,6 +246,7 @@ def dropped(docs: DataFrame, index: LineIndex, name: str, held_keys: int = HELD_
     sure = save(found, "line-hits").join(save(keys, "line-frequent"), "key").groupBy(F.col("row").alias(row)).agg(F.collect_set("key").alias(hits))
 
     @F.pandas_udf(_RESULT)
+    @tidy
     def joined(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for text, own in batches:
             yield _results([split_lines(t) for t in text], [set() if h is None else set(map(bytes, h)) for h in own], texts)

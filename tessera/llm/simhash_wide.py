@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tessera.llm.bitfilter import bit_filter, hit
-from tessera.llm.common import components, free_name, save, temporary
+from tessera.llm.common import components, free_name, save, temporary, tidy
 
 #: Words that are compared, and words whose segments make the cells.
 CHECK, GRID = 4, 16
@@ -179,6 +179,7 @@ def links(units: DataFrame, most: int, run: int, count: int, held: int | None =
     held = held or HELD
     names = ["cell", "uid", "head"]
 
+    @tidy
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 1000):
@@ -198,6 +199,7 @@ def links(units: DataFrame, most: int, run: int, count: int, held: int | None =
         met = dealt.join(F.broadcast(full) if n <= HELD else full, "cell", "left").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
         dealt = met.select(F.explode(F.when(F.col("blocks").isNull(), F.array("cell")).otherwise(pair)).alias("cell"), "uid", "head")
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -240,6 +242,7 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     at = given.columns.index("text")
     names = [*given.columns, sig]
 
+    @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = pa.array([signature(t.as_py(), size) for t in batch.column(at)], pa.binary())

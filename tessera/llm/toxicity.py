@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import table, tidy
 
 #: Most labelled rows that are read for training, the ones of smallest hashed doc_id.
 SAMPLE_ROWS = 6000
@@ -157,6 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     known = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bags = [bag(t.as_py()) for t in batch.column(2)]
@@ -184,6 +185,7 @@ def score(model: Model, text: Column) -> Column:
     shared = SparkSession.active().sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
+    @tidy
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
             yield pd.Series(map(shared.value.score, t), dtype="float64")
