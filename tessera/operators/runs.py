@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import keep
+
 #: Size of a sketch, and the error of its ranks as a share of all values (99 in a hundred sketches stay within it).
 SKETCH, ERROR = 1600, 0.0025
 SCHEMA = "n bigint, least double, most double, sketch binary"
@@ -22,7 +24,7 @@ def sketches(df: DataFrame, run: str, value: str) -> DataFrame:
 
 def bounds(kept: DataFrame, share: float, *keys: str) -> DataFrame:
     """(keys, n, least, most, lo, hi): values that enclose the quantile, but for the sketches' error, of the runs in ``kept``."""
-    merged = kept.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.kll_merge_agg_double("sketch", F.lit(SKETCH)).alias("s"))
+    merged = kept.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.kll_merge_agg_double("sketch", F.lit(SKETCH)).alias("s")).where("n > 0")  # no row where no runs are
     at = lambda q: F.kll_sketch_get_quantile_double("s", F.lit(min(1.0, max(0.0, q))))
     return merged.select(*keys, "n", "least", "most", at(share - 2 * ERROR).alias("lo"), at(share + 2 * ERROR).alias("hi"))
 
@@ -34,7 +36,7 @@ def nth(kept: DataFrame, df: DataFrame, run: str, value: str, share: float, plac
     exact, whatever the sketches say.
     """
     v = F.col(value).cast("double")
-    own = bounds(kept, share, *keys)
+    own = keep(bounds(kept, share, *keys), "run-bounds")  # merging draws by chance: what is counted below and what is sorted must have the same bounds
     rows = df.where(F.col(value).isNotNull()).join(kept.select(run, *keys).distinct(), run).select(*keys, v.alias("v"))
     met = rows.join(F.broadcast(own), list(keys)) if keys else rows.crossJoin(F.broadcast(own))  # a row a group of runs
     below = met.groupBy(*keys).agg(F.count_if(F.col("v") < F.col("lo")).alias("under"), F.count_if(F.col("v") <= F.col("hi")).alias("upto"))

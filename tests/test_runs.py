@@ -37,3 +37,12 @@ def test_bounds_are_narrow(spark):
     df = spark.range(200_000).selectExpr("id % 20 AS run", "cast(id AS double) AS ms")
     b = runs.bounds(runs.sketches(df, "run", "ms"), 0.95).first()
     assert b.n == 200_000 and b.lo <= 190_000 <= b.hi and b.hi - b.lo < 0.02 * 200_000
+
+
+def test_large_runs_are_exact_though_merging_draws_by_chance(spark):
+    """Sketches that were compacted give other bounds each time they are merged; values below and between must be told by the same."""
+    df = spark.range(0, 60_000, 1, 4).selectExpr("id % 3 AS run", "id % 2 AS suite", "cast(pmod(xxhash64(id), 1000003) AS double) AS ms")
+    kept = spark.createDataFrame(runs.sketches(df, "run", "ms").crossJoin(spark.range(1).select("id")).drop("id").collect(), f"run bigint, {runs.SCHEMA}")
+    v = sorted(r.ms for r in df.collect())
+    for _ in range(3):
+        assert runs.p95(kept, df, "run", "ms").first().ms == v[int(0.95 * len(v))]
