@@ -1,5 +1,6 @@
 """Hand-computed fixtures of the retrieval operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,20 @@ def test_batch_top_k_matches_single(spark):
         assert [(r.id, r.vector_score) for r in got.where(F.col("query_id") == q).orderBy("rank").collect()] == want
 
 
+def test_batch_top_k_multiplies_bounded_tiles(spark, monkeypatch):
+    """Tiles of questions and vectors give the rows of one product, ties by id; no larger block of scores is made."""
+    v = spark.createDataFrame([(f"{i:03d}", [float(i % 5), float(i % 3), 1.0]) for i in range(300)], "id string, embedding array<float>").repartition(3)
+    asked = v.where("cast(id as int) % 4 = 0").select(F.col("id").alias("query_id"), "embedding")
+    key = lambda df: sorted((r.query_id, r["rank"], r.id, r.vector_score) for r in df.collect())
+    want = key(vector.batch_top_k(v, asked, 7))
+    monkeypatch.setattr(vector, "TILE", 10)
+    monkeypatch.setattr(vector, "ROWS", 16)
+    monkeypatch.setattr(vector, "BLOCK", 32)
+    assert key(vector.batch_top_k(v, asked, 7)) == want
+    q, e = np.ones((10, 3)), np.arange(48.0).reshape(16, 3)
+    assert len(vector._tile_best(q, e, np.arange(16), 7)[0]) == 70
+
+
 def test_top_k_plans_use_a_bounded_sort(spark):
     v = spark.createDataFrame([(1, [1.0])], "id long, embedding array<float>")
     assert "TakeOrderedAndProject" in vector.top_k(v, [1.0], 3)._jdf.queryExecution().executedPlan().toString()
