@@ -64,3 +64,18 @@ def test_odd_vectors(spark):
     assert got[2, 1] == (2, 1.0) and got[2, 2] == (4, 1.0) and got[5, 1] == (5, 1.0) and got[1, 1][1] == 0.0 and not any(q == 3 for q, _ in got)
     assert ivf.InvertedFile.build(df.limit(0)).batch_top_k(asked, 2).collect() == []
     assert ivf.InvertedFile.build(df).batch_top_k(asked.limit(0), 2).collect() == []
+
+
+def test_probes_follow_the_vectors(spark):
+    """Without clusters a fixed number of lists holds ever fewer of the neighbours."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(0, 1, (4000, 24)))], "id long, embedding array<float>")
+    index = ivf.InvertedFile.build(df, lists=120)
+    asked = df.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.id) for r in vector.batch_top_k(df, asked, 20).collect()}
+    recall = lambda p: len(exact & {(r.query_id, r.id) for r in index.batch_top_k(asked, 20, probes=p).collect()}) / len(exact)
+    assert recall(8) < 0.9 <= recall(vector.probes_needed(index, df, 20))
+
+
+def test_ann_recall_holds_on_a_larger_table(spark):
+    assert registry.QUERIES["ann_recall"](spark, "/root/testdata/sf0.1").collect() == [(40, True)]
