@@ -113,3 +113,18 @@ def test_an_index_that_grew_equals_one_built_anew(spark):
     assert key(grown.terms) == key(whole.terms)
     assert grown.corpus.first() == whole.corpus.first()
     assert key(grown.top_k(q, 4)) == key(whole.top_k(q, 4)) == key(whole.written().top_k(q, 4))
+
+
+def test_chunks_are_scored_where_they_are_read(spark, monkeypatch):
+    """A task passes on the k best of each question, not all matches, in slices of any size; ties and short lists as before."""
+    from tessera.operators import bm25
+
+    rows = [(f"c{i:03d}", " ".join(f"w{i * j % 7}" for j in range(1, 2 + i % 9)) + " rare" * (i % 50 == 3)) for i in range(200)] + [("x", ""), ("y", None)]
+    q = spark.createDataFrame([(1, "w1 w2 w2"), (2, "w3 rare"), (3, "rare absent"), (4, None)], "query_id int, query string")
+    index = Bm25Index.build(corpus(spark, rows).repartition(3))
+    key = lambda df: sorted(map(tuple, df.select("query_id", "chunk_id", "bm25_score", "rank").collect()))
+    want = key(index.ranked(q, index.scores(q), 5))
+    for pairs in (1 << 20, 1, 37):
+        monkeypatch.setattr(bm25, "PAIRS", pairs)
+        assert key(index.top_k(q, 5)) == want
+    assert index._best(q, 5).count() <= 3 * 3 * 5 < index.scores(q).count()
