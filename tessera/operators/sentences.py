@@ -36,26 +36,33 @@ def kind(token: Column) -> Column:
     return F.regexp_replace(bare(token), r"\.+$", "")
 
 
-def _pairs(texts: DataFrame) -> DataFrame:
-    """(token, next) of all tokens."""
-    each = texts.select(words(F.col("text")).alias("w")).select(F.explode(F.transform("w", lambda x, i: F.struct(x.alias("token"), F.get("w", i + 1).alias("next")))).alias("p"))
-    return each.select("p.token", "p.next")
+def _token_counts(texts: DataFrame) -> DataFrame:
+    """(token, n): tokens as they stand, so that what follows is done once for each distinct one."""
+    return texts.select(F.explode(words(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+def _end_pairs(texts: DataFrame) -> DataFrame:
+    """(token, next, n) of tokens that may end a sentence."""
+    w = texts.select(words(F.col("text")).alias("w"))
+    some = F.filter(F.transform("w", lambda x, i: F.when(x.rlike("[.!?]"), F.struct(x.alias("token"), F.get("w", i + 1).alias("next")))), lambda p: p.isNotNull())
+    return w.select(F.explode(some).alias("p")).groupBy("p.token", "p.next").agg(F.count("*").alias("n"))
 
 
 def _ends(token: Column) -> Column:
     return token.rlike(r"[.!?]" + _CLOSING)
 
 
-def type_counts(texts: DataFrame) -> DataFrame:
+def type_counts(texts: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """(type, with_period, without): how often each type ends with one period and how often not."""
-    each = texts.select(F.explode(F.transform(words(F.col("text")), bare)).alias("b"))
+    each = (_token_counts(texts) if counted is None else counted).select(bare(F.col("token")).alias("b"), "n")
     dot = F.col("b").rlike(r"(^|[^.])\.$")  # an ellipsis says nothing
-    return each.groupBy(F.regexp_replace("b", r"\.+$", "").alias("type")).agg(F.count_if(dot).alias("with_period"), F.count_if(~dot).alias("without"))
+    some = lambda x: F.sum(F.when(x, F.col("n")).otherwise(0))
+    return each.groupBy(F.regexp_replace("b", r"\.+$", "").alias("type")).agg(some(dot).alias("with_period"), some(~dot).alias("without"))
 
 
-def abbreviations(texts: DataFrame) -> DataFrame:
+def abbreviations(texts: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(type, with_period, without, score) of the abbreviations among the texts' types."""
-    counted = keep(type_counts(texts), "sentence-types")
+    counted = keep(type_counts(texts), "sentence-types") if counts is None else counts
     sums = counted.agg(F.sum("with_period").alias("dots"), F.sum(F.col("with_period") + F.col("without")).alias("all"))
     some = counted.where(F.col("type").rlike(r"\p{L}") & ~F.col("type").rlike(r"\p{N}") & (F.col("with_period") > 0))
     p, k, m = F.col("dots") / F.col("all"), F.col("with_period"), F.col("without")
@@ -67,11 +74,11 @@ def abbreviations(texts: DataFrame) -> DataFrame:
     return some.crossJoin(F.broadcast(sums)).withColumn("score", score).where(F.col("score") >= ABBREVIATION).select("type", "with_period", "without", "score")  # one row of sums
 
 
-def starters(texts: DataFrame, known: DataFrame) -> DataFrame:
+def starters(texts: DataFrame, known: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(type, at_start, total, score) of the types that follow sentence ends, but for ends that ``known`` abbreviations carry, more often than chance."""
-    each = _pairs(texts).select(kind(F.col("token")).alias("type"), F.when(_ends(F.col("token")), bare(F.col("token"))).alias("end"), F.col("next"))
-    total = each.groupBy("type").agg(F.count("*").alias("total"))
-    ends = each.where("end IS NOT NULL").groupBy("type", "end", kind(F.col("next")).alias("after")).agg(F.count("*").alias("n"))
+    counts = keep(type_counts(texts), "sentence-types") if counts is None else counts
+    total = counts.select("type", (F.col("with_period") + F.col("without")).alias("total"))
+    ends = _end_pairs(texts).where(_ends(F.col("token"))).groupBy(kind(F.col("token")).alias("type"), bare(F.col("token")).alias("end"), kind(F.col("next")).alias("after")).agg(F.sum("n").alias("n"))
     carried = known.select("type", F.lit(True).alias("known"))
     ends = keep(ends.join(carried, "type", "left").where(F.col("known").isNull() | ~F.col("end").endswith(".")).select("after", "n"), "sentence-ends")
     sums = total.agg(F.sum("total").alias("all")).crossJoin(ends.agg(F.sum("n").alias("breaks")))
@@ -98,13 +105,15 @@ class Splitter:
 
     @classmethod
     def learn(cls, texts: DataFrame) -> Splitter:
-        known = keep(abbreviations(texts), "abbreviations")
-        return cls(known, keep(starters(texts, known), "starters"))
+        counts = keep(type_counts(texts), "sentence-types")
+        known = keep(abbreviations(texts, counts), "abbreviations")
+        return cls(known, keep(starters(texts, known, counts), "starters"))
 
     def split(self, texts: DataFrame, key: str) -> DataFrame:
         """(key, idx, sentence) of ``texts`` (key, text), each sentence's words joined by one space; texts without words have none."""
         w = texts.select(key, words(F.col("text")).alias("w")).where(F.size("w") > 0)
-        asked = F.array_distinct(F.transform("w", kind))
+        # Only a token with a period is looked up among abbreviations, and only the one after it among starters.
+        asked = F.array_distinct(F.flatten(F.transform(F.filter(F.transform("w", lambda x, i: F.when(F.contains(x, F.lit(".")), F.array(x, F.coalesce(F.get("w", i + 1), x)))), lambda p: p.isNotNull()), lambda p: F.transform(p, kind))))
         types = lambda df: df.select("type")
         if all(df.limit(HELD_TYPES + 1).count() <= HELD_TYPES for df in (self.known, self.first)):
             one = lambda df, name: F.broadcast(types(df).agg(F.collect_list("type").alias(name)))
@@ -117,16 +126,20 @@ class Splitter:
             met = w.join(own(self.known, "k"), "_r", "left").join(own(self.first, "f"), "_r", "left")
             none = F.array().cast("array<string>")
             met = met.select(key, "w", F.coalesce("k", none).alias("k"), F.coalesce("f", none).alias("f"))
-        n = F.size("w")
-        ends = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | self._break(F.get("w", i), F.get("w", i + 1)))
-        cut = met.select(key, "w", ends.alias("e"))
-        start = lambda k: F.when(k == 0, 0).otherwise(F.get("e", k - 1) + 1)
-        parts = F.transform("e", lambda e, k: F.array_join(F.transform(F.sequence(start(k), e), lambda i: F.get("w", i)), " "))
+        # Few tokens may end a sentence: the rules are applied to those, and sentences are slices between them.
+        some = F.filter(F.transform("w", lambda x, i: F.when(x.rlike("[.!?]"), F.struct(i.alias("i"), x.alias("token"), F.get("w", i + 1).alias("next")))), lambda p: p.isNotNull() & p["next"].isNotNull())
+        # ``held`` binds a text's own types: as plain columns Spark would find them anew for each token.
+        held = F.array(F.struct(F.col("k"), F.col("f")))
+        breaks = F.flatten(F.transform(held, lambda h: F.filter(some, lambda p: self._break(p["token"], p["next"], h["k"], h["f"]))))
+        inner = F.transform(breaks, lambda p: p["i"] + 1)
+        cut = met.select(key, "w", F.array_append(inner, F.size("w")).alias("e"))
+        start = lambda k: F.when(k == 0, 0).otherwise(F.get("e", k - 1))
+        parts = F.transform("e", lambda e, k: F.array_join(F.slice("w", start(k) + 1, e - start(k)), " "))
         return cut.select(key, F.posexplode(parts).alias("idx", "sentence"))
 
     @staticmethod
-    def _break(token: Column, after: Column) -> Column:
+    def _break(token: Column, after: Column, k: Column, f: Column) -> Column:
         lower, upper = after.rlike(r"^[^\p{L}\p{N}]*\p{Ll}"), after.rlike(r"^[^\p{L}\p{N}]*\p{Lu}")
         period = token.rlike(r"\." + _CLOSING)
-        carried = period & (F.array_contains("k", kind(token)) | token.rlike(r"^[^\p{L}\p{N}]*\p{L}\." + _CLOSING))
-        return F.when(~_ends(token) | lower, False).when(carried, upper & F.array_contains("f", kind(after))).when(period & token.rlike(r"\.\."), upper).otherwise(True)
+        carried = period & (F.array_contains(k, kind(token)) | token.rlike(r"^[^\p{L}\p{N}]*\p{L}\." + _CLOSING))
+        return F.when(~_ends(token) | lower, False).when(carried, upper & F.array_contains(f, kind(after))).when(period & token.rlike(r"\.\."), upper).otherwise(True)

@@ -55,3 +55,13 @@ def test_odd_texts(spark):
     got = {(r.id, r.idx): r.sentence for r in Splitter.learn(texts).split(texts, "id").collect()}
     assert got == {(4, 0): "no end", (5, 0): "One. two.", (5, 1): "Three?", (5, 2): "\"Four!\"", (5, 3): "Five", (6, 0): "..."}
     assert Splitter.learn(texts.limit(0)).split(texts.limit(0), "id").collect() == []
+
+
+def test_tokens_are_judged_once_each(spark):
+    """Types are told from distinct tokens and the ends from distinct pairs: rules do not run at every place of a word."""
+    texts = spark.createDataFrame([(i, "Mr. Hall came. The dog saw Mr. Hall again today.") for i in range(50)], "id int, text string")
+    assert sentences._token_counts(texts).count() == 8
+    pairs = {(r.token, r.next): r.n for r in sentences._end_pairs(texts).collect()}
+    assert pairs == {("Mr.", "Hall"): 100, ("came.", "The"): 50, ("today.", None): 50}
+    counts = {r.type: (r.with_period, r["without"]) for r in sentences.type_counts(texts).collect()}
+    assert counts["mr"] == (100, 0) and counts["hall"] == (0, 100) and counts["today"] == (50, 0)
