@@ -23,7 +23,8 @@ NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 _UNITS = "km|cm|mm|m|miles?|feet|ft|inch(?:es)?|kg|g|mg|lbs?|pounds?|tons?|litres?|liters?|l|ml|hours?|hrs?|h|minutes?|min|seconds?|sec|s|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?|mph|kmh|watts?|kw|volts?"
 #: What placeholders replace: a name, a unit after a digit, a number.  A name is a run of capitalised words, a sentence's first word among
 #: them: it may be a name, and as a value it is compared all the same.  Scripts without case have no names.
-_PLACES = rf"((?<![\p{{L}}\p{{N}}])\p{{Lu}}\p{{Ll}}+(?![\p{{L}}\p{{N}}])(?: \p{{Lu}}\p{{Ll}}+(?![\p{{L}}\p{{N}}]))*)|((?<=\d ?)(?:{_UNITS})(?![\p{{L}}\p{{N}}]))|(\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)*)"
+#: Nothing follows a run, so it gives nothing back (``*+``): Java would take a frame of the stack for each part of a run that might.
+_PLACES = rf"((?<![\p{{L}}\p{{N}}])\p{{Lu}}\p{{Ll}}+(?![\p{{L}}\p{{N}}])(?: \p{{Lu}}\p{{Ll}}+(?![\p{{L}}\p{{N}}]))*+)|((?<=\d ?)(?:{_UNITS})(?![\p{{L}}\p{{N}}]))|(\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)*+)"
 #: A value is written between the marks of its kind and this one, all in one pass, so that no search runs past a value.
 _END = "\ue003"
 _MARKED = rf" {NAME}$1{UNIT}$2{NUMBER}$3{_END} "

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, tidy
+from tessera.llm.common import give_back, table, tidy
 
 #: Most labelled rows that are read for training, the ones of smallest hashed doc_id.
 SAMPLE_ROWS = 6000
@@ -176,8 +176,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     ids, times = (np.split(x.to_numpy().astype(np.int64), cut) for x in (coded.indices, got.column("times").chunk(0).flatten()))
     labels_of, names = got.column("toxic").to_numpy(), coded.dictionary.to_pylist()
     del got, lists, coded, once, counted
-    pa.default_memory_pool().release_unused()  # the driver goes on after training
-    return train_bags(names, list(zip(ids, times, strict=True)), labels_of)
+    docs = list(zip(ids, times, strict=True))
+    del ids, times
+    give_back()
+    try:
+        return train_bags(names, docs, labels_of)
+    finally:
+        del docs, names
+        give_back()  # the driver goes on after training
 
 
 def score(model: Model, text: Column) -> Column:

@@ -37,3 +37,14 @@ def test_placeholders_are_marked_in_one_pass(spark):
     assert got[0].t == [a, "ran", n, u, "and", n, u, "x", n, u, "h", n, "o", n, u, "of", a, "s", n, "kg", n, n, "été", a, "½", "l"]
     assert [v for v in got[0].v if v] == ["anna smith", "5", "km", "12.5", "miles", "5", "km", "2", "3/4", "m", "bob", "7", "5", "10,000.5", "été"]
     assert len(got[0].v) == len(got[0].t) and got[1].t == got[2].t == []
+
+
+def test_very_long_runs_of_names_and_numbers(spark):
+    """Each run is one value, however long: a search that takes stack for each part of it ended the executor."""
+    item = "the quick brown fox jumps over the lazy dog near the old river bank today"
+    items = spark.createDataFrame([("i", item)], "item_id string, text string")
+    runs = ["Alice " * 20_000, "1." * 20_000, "Bob 1:2 " * 20_000]
+    docs = spark.createDataFrame([(k, f"{run}so {item}") for k, run in enumerate(runs)] + [(9, runs[0])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.contaminated(docs, items).collect()) == [0, 1, 2]
+    kinds = docs.where("doc_id < 2").orderBy("doc_id").select(F.slice(decontaminate.template(F.col("text")), 1, 2).alias("t")).collect()
+    assert [r.t for r in kinds] == [[decontaminate.NAME, "so"], [decontaminate.NUMBER, "so"]]
