@@ -28,9 +28,13 @@ class PieceMemo:
         self.usual = pattern == public_tokenizers.PATTERN
 
     def _look_up(self, pieces: list[str]) -> bytes:
+        return b"".join(self.each(pieces))
+
+    def each(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece."""
         known = self.known
         try:
-            return b"".join(map(known.__getitem__, pieces))
+            return list(map(known.__getitem__, pieces))
         except KeyError:
             if len(known) > self.limit:
                 self.old, self.known = known, {}
@@ -39,7 +43,7 @@ class PieceMemo:
             known.update((p, old[p]) for p in lacking if p in old)
             missing = list(lacking.difference(known))
             known.update(zip(missing, self.encode(missing), strict=True))
-            return b"".join(map(known.__getitem__, pieces))
+            return list(map(known.__getitem__, pieces))
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a whole text; null and empty texts have none."""

@@ -13,12 +13,14 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,10 @@ NO_ID = -(1 << 63)
 #: A block is closed when it holds this many ids (one document is never split).
 BLOCK_IDS = 1 << 16
 BLOCKS_A_FILE = 64
+#: Bytes of text whose pieces are told apart in one go.
+SLICE = 1 << 22
+#: Texts that are not words between single spaces or newlines, in the syntax of Arrow's patterns; those with added tokens are joined to it.
+_ODD = r"  | \n|\n |\n\n|\A[ \n]|[ \n]\z|[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 
 def bits_for(vocabulary: int) -> int:
@@ -104,6 +110,13 @@ def read_blocks(data: bytes) -> Iterator[Block]:
         at += size + 1
 
 
+#: What ByteLevel writes for bytes that are no printable signs, a space among them.
+_WRITTEN = {b: chr(256 + k) for k, b in enumerate([*range(33), *range(127, 161), 173])}
+_one_word = re.compile(r" ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[0-9]+|[!-/:-@\[-`{-~]+)").fullmatch
+#: Of each byte: 0 space and newline, 1 letters, 2 digits, 3 other signs of ASCII, 4 bytes of other characters.
+_KIND = np.array([0 if b in b" \n" else 4 if b > 127 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
+
+
 class Tokens:
     """The tokenizers library behind a memo of pieces; ``end`` is appended to each document."""
 
@@ -119,6 +132,7 @@ class Tokens:
             self.bytes_of[i] = len(token)
         added = self.library.get_added_tokens_decoder()
         self.added = re.compile("|".join(re.escape(t.content) for t in added.values()) or r"(?!)")
+        self.odd = "|".join([_ODD, *(re.escape(t.content) for t in added.values())])
         self.memo = PieceMemo(self._pieces, public_tokenizers.PATTERN)
         made = json.loads(self.library.to_str())
         before = made["pre_tokenizer"] or {}
@@ -132,6 +146,12 @@ class Tokens:
         """Ids of many pieces in one call where each starts anew after the one before."""
         apart = [k for k, p in enumerate(pieces) if len(p) > 1 and p[0] in " \n" and not p[1].isspace() and not p[-1].isspace()]
         out: list[bytes] = [b""] * len(pieces)
+        if self.apart:  # one pre-token each: the library's model is asked without what surrounds it
+            model = self.library.model
+            for k, p in enumerate(pieces):
+                if _one_word(p):
+                    out[k] = array("I", [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(_WRITTEN))]).tobytes()
+            apart = [k for k in apart if not out[k]]
         if apart:
             ids = self._encode("".join(pieces[k] for k in apart))
             ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(pieces[k].encode()) for k in apart])) + 1
@@ -140,7 +160,7 @@ class Tokens:
                 out[k] = ids[start:stop].tobytes()
                 start = stop
         for k in set(range(len(pieces))).difference(apart):
-            out[k] = self._encode(pieces[k]).tobytes()
+            out[k] = out[k] or self._encode(pieces[k]).tobytes()
         return out
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -149,6 +169,46 @@ class Tokens:
             return self._encode(text)
         return np.frombuffer(self.memo.ids(text), "<u4")
 
+    def ids_of(self, texts: pa.Array) -> list[np.ndarray]:
+        """``ids`` of each text.  Words between single spaces or newlines are told apart for all texts at once, each kind looked up once."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        plain = pc.invert(pc.match_substring_regex(texts, self.odd)).to_numpy(zero_copy_only=False) & (self.apart and self.memo.usual)
+        out: list[np.ndarray | None] = [None] * len(texts)
+        at = np.flatnonzero(plain)
+        size = pc.binary_length(texts).to_numpy()
+        if len(at):
+            part = (np.cumsum(size[at]) - size[at]) // SLICE
+            for own in np.split(at, np.flatnonzero(np.diff(part)) + 1):
+                for k, ids in zip(own.tolist(), self._plain_ids(texts.take(pa.array(own))), strict=True):
+                    out[k] = ids
+        for k in np.flatnonzero(~plain).tolist():
+            out[k] = self.ids(texts[k].as_py())
+        return out
+
+    def _plain_ids(self, texts: pa.LargeStringArray) -> list[np.ndarray]:
+        """A piece begins at each text's start, space and newline, and where letters, digits and other signs of ASCII
+        meet, but for what follows an apostrophe: a pre-token ends there.  So pieces are slices of the texts' buffer."""
+        starts = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+        if starts[0] == starts[-1]:
+            return [np.empty(0, np.uint32)] * len(texts)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[starts[0] : starts[-1]]
+        starts = starts - starts[0]
+        cut = np.zeros(len(data) + 1, bool)
+        kind = _KIND[data]
+        cut[:-1] = kind == 0
+        cut[1:-1] |= (kind[:-1] < 4) & (kind[1:] < 4) & (kind[:-1] != kind[1:]) & (kind[:-1] > 0) & (data[:-1] != 39)
+        cut[starts] = True
+        cut = np.flatnonzero(cut)
+        pieces = pa.LargeStringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
+        ids = self.memo.each(pieces.dictionary.to_pylist())
+        many = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first, ids = np.cumsum(many) - many, np.frombuffer(b"".join(ids), "<u4")
+        kind = pieces.indices.to_numpy()
+        n = many[kind]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        every = ids[np.repeat(first[kind] - ends[:-1], n) + np.arange(ends[-1])]
+        return np.split(every, ends[np.searchsorted(cut, starts[1:-1])])
+
 
 _MADE: dict[str, Tokens] = {}
 
@@ -182,9 +242,9 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int =
         size = number = 0
         emit = lambda b: pa.RecordBatch.from_arrays([pa.array([b], pa.binary())], ["block"])
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.concatenate([coder.ids(text.as_py()), last])
-                held.append((doc_id.as_py(), ids))
+            for doc_id, own in zip(batch.column(0).to_pylist(), coder.ids_of(batch.column(1)), strict=True):
+                ids = np.concatenate([own, last])
+                held.append((doc_id, ids))
                 size += len(ids)
                 if size >= block_ids:
                     yield emit(write_block(held, bits, task, number))
